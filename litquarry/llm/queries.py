@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from litquarry.session import table
 
-from . import mixing, tokens
+from . import mixing, tokens, unify
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +23,23 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def _looked_at(spark: SparkSession, sf: str) -> DataFrame:
+    hits = table(spark, sf, "search_hit").select(F.lit("search_hit").alias("src_table"), F.col("hit_id").alias("id"), "text")
+    return hits.unionByName(table(spark, sf, "paper_metadata").select(F.lit("paper_metadata").alias("src_table"), F.col("record_id").alias("id"), F.col("title").alias("text")))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of rows that look the same and are stored as different strings."""
+    return unify.lookalike_pairs(_looked_at(spark, sf))
+
+
+@query("p1_unified")
+def p1_unified(spark: SparkSession, sf: str) -> DataFrame:
+    """The consistent form of every text."""
+    return unify.unify_text(_looked_at(spark, sf), "text").select("src_table", "id", "unified")
+
+
 @query("p7_ids")
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
