@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litquarry.session import table
 
-from . import mixing, tokens, unify
+from . import mixing, pieces, tokens, unify
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -40,6 +40,24 @@ def p1_unified(spark: SparkSession, sf: str) -> DataFrame:
     return unify.unify_text(_looked_at(spark, sf), "text").select("src_table", "id", "unified")
 
 
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    hits = table(spark, sf, "search_hit").select("hit_id", "config_id", "text")
+    config = table(spark, sf, "chunk_config").select("config_id", "max_characters", "overlap_characters")
+    return pieces.split_texts(hits.join(config, "config_id", "left"), "hit_id", "text", "max_characters", "overlap_characters")
+
+
+@query("p2_found", "SELECT hit_id FROM search_hit JOIN chunk_config USING (config_id) WHERE length(text) > max_characters")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits whose text had to be cut."""
+    return pieces.oversized(_pieces(spark, sf), "hit_id")
+
+
+@query("p2_pieces")
+def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text in numbered pieces within its limit."""
+    return _pieces(spark, sf)
+
+
 @query("p7_ids")
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
