@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 0x110000
+RUN_BYTES = 1 << 19
 FOLDED_TAGS = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>"}
 # Characters drawn like another one, in the order of the plain letters.
 LATIN_CYRILLIC = ("ABCEHIJKMOPSTXYaceijopsxyh", "АВСЕНІЈКМОРЅТХУасеіјорѕхуһ")
@@ -203,11 +204,19 @@ def unify_codepoints(cp: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.nda
 
 
 def unify_arrow(texts: pa.Array) -> pa.Array:
-    """The unified form of an Arrow string array."""
+    """The unified form of an Arrow string array, worked on in runs of about ``RUN_BYTES`` to bound the memory of the arrays."""
     texts = texts.cast(pa.large_string())
     rows = len(texts)
     if not rows:
         return texts.cast(pa.string())
+    edge = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + rows + 1]
+    run = (edge[1:] - edge[0]) // RUN_BYTES
+    cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), rows]
+    return pa.concat_arrays([_unify_run(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+
+
+def _unify_run(texts: pa.Array) -> pa.Array:
+    rows = len(texts)
     _, offsets, data = texts.buffers()
     edge = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + rows + 1]
     raw = np.frombuffer(data, dtype=np.uint8)[edge[0] : edge[-1]] if data is not None else np.zeros(0, np.uint8)
