@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litquarry.session import table
 
-from . import mixing, pieces, tokens, unify
+from . import mixing, names, pieces, tokens, unify
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -58,6 +58,23 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf)
 
 
+def _name_links(spark: SparkSession, sf: str) -> DataFrame:
+    elements = names.name_elements(table(spark, sf, "paper_metadata"), "paper_metadata", "record_id").unionByName(names.name_elements(table(spark, sf, "paper_request"), "paper_request", "request_id"))
+    return names.link_elements(elements, table(spark, sf, "author_authority"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements that stand for an authority entry under another spelling."""
+    return _name_links(spark, sf).filter("kind <> 'exact'").select("src_table", "row_id", "author_pos", "author_id")
+
+
+@query("p4_links")
+def p4_links(spark: SparkSession, sf: str) -> DataFrame:
+    """All linked elements with the kind of rewriting and the confidence."""
+    return _name_links(spark, sf).select("src_table", "row_id", "author_pos", "name", "author_id", "kind", "confidence")
+
+
 @query("p7_ids")
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
