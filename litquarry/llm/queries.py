@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litquarry.session import table
 
-from . import mixing, names, pieces, tokens, unify
+from . import linkage, mixing, names, pieces, tokens, unify
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -75,6 +75,22 @@ def p4_links(spark: SparkSession, sf: str) -> DataFrame:
     return _name_links(spark, sf).select("src_table", "row_id", "author_pos", "name", "author_id", "kind", "confidence")
 
 
+def _work_links(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.link(table(spark, sf, "paper_request"), table(spark, sf, "paper_metadata"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests without a DOI and the records of the same work."""
+    return _work_links(spark, sf).select("request_id", "record_id")
+
+
+@query("p5_matches")
+def p5_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the confidence of each match."""
+    return _work_links(spark, sf)
+
+
 @query("p7_ids")
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
