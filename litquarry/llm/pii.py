@@ -75,6 +75,7 @@ _START = {t: re.compile(p) for t, p in {
     "name": r"[^\W\d_]",
 }.items()}
 _EMAIL = re.compile(r"^[\w.+-]+(?:@| @ |\s?[(\[]at[)\]]\s?| at )[\w-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?| dot )[\w-]+)+$", re.A)
+_DIALLED = re.compile(r"(?:\+|00(?:1|33|34|39|41|43|44|49|86))[ (]?\d[\d ()/-]{7,}$")
 _LABEL = {
     "name": re.compile(r"^(?:(?:Dr|Prof|Mr|Ms|Mrs|Frau|Herr|Mme|Sr|Sra|Dear)\.?\s+)+"),
     "phone": re.compile(r"^(?:Tel\.?:?|phone|电话)\s*"),
@@ -139,6 +140,8 @@ def find_spans(texts: list[str | None], net: Tagger | None = None) -> list[list[
                 while b < len(y) and y[b] == TAGS.index(f"I-{kind}"):
                     b += 1
                 if (v := check(folded, a, b, kind)) and v[0] >= end:
+                    if kind == "id_number" and _DIALLED.match(folded[v[0] : v[1]]):
+                        kind = "phone"
                     out[i].append((v[0], v[1], kind))
                     end = v[1]
 

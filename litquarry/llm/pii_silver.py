@@ -25,7 +25,7 @@ NAME_CUES = [
 ]
 PHONE = r"(?:\(\+|\+\s?|\()?\d[\d ()./-]{6,20}\d(?: ext\. \d+)?"
 PHONE_CUES = [r"Tel\.: ?", r"Call ", r"Call back: ", r"line is ", r"phone ", r"Joignable au ", r"erreichbar unter ", r"contacto: ", r"电话", r"[\w\]] / ", r"\n"]
-VALUE = r"(?<![A-Za-z0-9])(?:[A-Z]{1,2}[ -]?)?\d[0-9A-Z]*(?:[ ./-][0-9A-Z]+(?![a-z]))*"
+VALUE = r"(?<![A-Za-z0-9])(?:(?!ID)[A-Z]{1,2}[ -]?)?\d[0-9A-Z]*(?:[ ./-][0-9A-Z]+(?![a-z]))*"
 ID_CUES = [r"File copy holds ", r"A copy of the ", r"Hinterlegt ist nur ", r"Le dossier contient ", r"En la ficha consta ", r"登记信息：", rf"受试者(?:{NAME}|{HAN_NAME})[(（]", rf"(?:Teilnehmer|Participant|participant|participante) {NAME}, ", rf"run by {NAME} \("]
 EN_ADDRESS = rf"(?:(?:Flat|Suite|Unit|Apt\.?|Room) \d+, )?\d+[a-z]? (?:{WORD} ){{1,3}}(?:Road|Street|Lane|Way|Court|Avenue|Blvd|St\.|Rd\.?|Ave\.?|Drive|Close|Terrace|Square|Row)(?:, (?:Apt|Flat) \d+)?(?:(?:,|\s*\n)\s*{WORD}(?:,? \d{{5}})?)?"
 DE_ADDRESS = rf"(?:(?:{WORD}(?:straße|gasse|weg|str\.|platz|allee|ufer)|Am Alten {WORD}|[{UP}][{LOW}]*(?:straße|gasse|weg|str\.|platz|allee|ufer)) \d+[a-z]?)(?:(?:,|\s*\n)\s*(?:D-)?\d{{5}} {WORD})?"

@@ -27,7 +27,7 @@ def tags_of(text: str, found) -> np.ndarray:
     return y
 
 
-def windows(texts: list[str], seed: int = 3, per_span: int = 2, plain: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def windows(texts: list[str], seed: int = 3, per_span: int = 3, plain: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Windows around every labelled span at random offsets, and others anywhere in the texts."""
     r, table, xs, ys = np.random.default_rng(seed), char_ids(), [], []
     for text in texts:
@@ -55,7 +55,7 @@ def main(sf_dir: str, out: str, minutes: float = 8) -> None:
     xs, ys = windows([t for i, t in enumerate(texts) if i not in held])
     print(len(xs), "windows", flush=True)
     net = Tagger()
-    net.fit(xs, ys, epochs=9, batch=96, log=lambda m: print(m, flush=True), deadline=time.time() + 60 * minutes)
+    net.fit(xs, ys, epochs=10, batch=96, log=lambda m: print(m, flush=True), deadline=time.time() + 60 * minutes)
     Path(out).write_bytes(net.dump())
     from .pii import find_spans
 

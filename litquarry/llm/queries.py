@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litquarry.session import table
 
-from . import linkage, mixing, names, pieces, tokens, unify
+from . import linkage, mixing, names, pieces, pii, tokens, unify
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +114,15 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     sized, plans = _mix_inputs(spark, sf)
     sized = mixing.once(sized)
     return mixing.mix_report(mixing.select_mix(sized, plans), sized, plans)
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every occurrence of personal information."""
+    return pii.pii_spans(table(spark, sf, "documents")).select("doc_id", "pii_type", "start_char")
+
+
+@query("p9_masked")
+def p9_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with typed placeholders in place of personal information."""
+    return pii.mask_pii(table(spark, sf, "documents")).select("doc_id", "masked")
