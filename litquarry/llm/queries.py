@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litquarry.session import table
 
-from . import linkage, mixing, names, pieces, pii, tokens, unify
+from . import linkage, mixing, names, pages, pieces, pii, tokens, unify
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -91,6 +91,18 @@ def p5_matches(spark: SparkSession, sf: str) -> DataFrame:
     return _work_links(spark, sf)
 
 
+@query("p6_found")
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages without article prose of their own."""
+    return pages.excluded_pages(table(spark, sf, "retrieved_page"), table(spark, sf, "parsed_html"))
+
+
+@query("p6_judged")
+def p6_judged(spark: SparkSession, sf: str) -> DataFrame:
+    """What each page consists of and whether it is excluded."""
+    return pages.judge_pages(table(spark, sf, "retrieved_page"), table(spark, sf, "parsed_html"))
+
+
 @query("p7_ids")
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
