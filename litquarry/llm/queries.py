@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litquarry.session import table
 
-from . import linkage, mixing, names, pages, pieces, pii, tokens, unify
+from . import linkage, mixing, names, pages, pieces, pii, scans, tokens, unify
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -91,6 +91,28 @@ def p5_matches(spark: SparkSession, sf: str) -> DataFrame:
     return _work_links(spark, sf)
 
 
+@query("p3_found")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each kind of scan noise of every row."""
+    return scans.find_noise(table(spark, sf, "fragment"), table(spark, sf, "search_hit"))
+
+
+def _lexicon(spark: SparkSession, sf: str):
+    return scans.build_lexicon(table(spark, sf, "fragment").select("text").unionByName(table(spark, sf, "search_hit").select("text")))
+
+
+@query("p3_hits")
+def p3_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits as continuous paragraphs."""
+    return scans.repair_hits(table(spark, sf, "search_hit"), _lexicon(spark, sf))
+
+
+@query("p3_artifacts")
+def p3_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """Fragments of every artifact as continuous paragraphs."""
+    return scans.repair_fragments(table(spark, sf, "fragment"), _lexicon(spark, sf))
+
+
 @query("p6_found")
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pages without article prose of their own."""
