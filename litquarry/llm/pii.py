@@ -76,6 +76,8 @@ _START = {t: re.compile(p) for t, p in {
 }.items()}
 _EMAIL = re.compile(r"^[\w.+-]+(?:@| @ |\s?[(\[]at[)\]]\s?| at )[\w-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?| dot )[\w-]+)+$", re.A)
 _DIALLED = re.compile(r"(?:\+|00(?:1|33|34|39|41|43|44|49|86))[ (]?\d[\d ()/-]{7,}$")
+# Names of bodies are no names of people.
+_BODY = re.compile(r"\b(?:Institut\w*|University|Universität|Université|Universidad|Group|Laborator\w*|Academy|Centre|Center|Consortium|archive|Society|College|Department|Ltd|GmbH|Inc)\b", re.I)
 _LABEL = {
     "name": re.compile(r"^(?:(?:Dr|Prof|Mr|Ms|Mrs|Frau|Herr|Mme|Sr|Sra|Dear)\.?\s+)+"),
     "phone": re.compile(r"^(?:Tel\.?:?|phone|电话)\s*"),
@@ -100,6 +102,11 @@ def check(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         a -= 1
         if text[a - 1 : a] == "(":
             a -= 1
+    if kind == "email":
+        while a > 0 and text[a - 1].isascii() and (text[a - 1].isalnum() or text[a - 1] in "._+-"):
+            a -= 1
+        while text[a] in "._+-":
+            a += 1
     v = text[a:b]
     digits = sum(c.isdigit() for c in v)
     if kind == "email" and not ("@" in v or re.search(r"\bat\b", v)):
@@ -112,7 +119,7 @@ def check(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         return None
     if kind == "name":
         han = re.fullmatch(r"[一-鿿·]{2,5}", v)
-        if digits or not (han or re.search(r"[\s,.]", v.strip())) or len(v) < 2:
+        if _BODY.search(v) or digits or not (han or re.search(r"[\s,.]", v.strip())) or len(v) < 2:
             return None
     return a, b
 

@@ -253,10 +253,15 @@ def furniture_lines(lines: list[str]) -> set[int]:
             continue
         s = lines[k].strip()
         near = any(j in out for j in filled if abs(filled.index(j) - filled.index(k)) == 1)
-        ended = re.search(r"[.!?。！？；]$", s) and not s.endswith("al.")
+        ended = re.search(r"[.!?。！？；]$", s) and not s.endswith("et al.")
         shape = bool(_NAMES.match(s)) or bool(_JOURNAL.search(s)) or (s.upper() == s and sum(c.isalpha() for c in s) >= 6 and not _HAN.search(s)) or bool(re.match(r"^\d{1,4}\s{2,}\S", s)) or bool(re.search(r"\S\s{2,}\d{1,4}$", s))
         title = s[:1].isupper() and not ended and len(s) < 0.8 * width
-        if (shape and not ended and (near or (title and interrupts(k)))) or (near and title and not ended and (interrupts(k) or shape)):
+        paged = bool(re.match(r"^[\dOlSB]{1,4}\s{2,}\S", s)) or bool(re.search(r"\S\s{2,}[\dOlSB]{1,4}$", s))
+        i = filled.index(k)
+        # A line broken although the next word would have fitted is no line of running text.
+        early = i + 1 < len(filled) and len(s) + 1 + len(lines[filled[i + 1]].split()[0]) <= 0.95 * width and len(s) < 0.75 * width
+        edge = shape and i in (0, len(filled) - 1) and len(s) < 0.75 * width
+        if not ended and (paged or edge or (shape and (near or (title and interrupts(k)))) or (near and title and (interrupts(k) or shape)) or (title and early)):
             out.add(k)
     return out
 
