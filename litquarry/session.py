@@ -40,3 +40,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             sc.setCheckpointDir(shared)
     elif sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="litquarry-checkpoint-"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows spread over as many tasks as the session shuffles into, before work that is dear per row and small in bytes.
+
+    Adaptive execution sizes tasks by bytes; a few megabytes of rows for a slow Python function would end in one task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n)
