@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litquarry.session import ensure_checkpoint_dir
+from litquarry.session import ensure_checkpoint_dir, spread
 
 from .unify import unify_arrow
 
@@ -378,7 +378,7 @@ def find_noise(fragments: DataFrame, hits: DataFrame) -> DataFrame:
     rows = fragments.filter("text is not null and trim(text) <> ''")
     margin = ((F.col("y") >= TOP) | (F.col("y") <= BOTTOM))
     furniture = rows.filter(margin).select(F.lit("fragment").alias("src_table"), F.col("fragment_id").alias("row_id"), F.lit("furniture").alias("noise"))
-    lines = fragment_lines(fragments).withColumn("noise", line_noise("text", "before", "after")).filter(F.size("noise") > 0).select("artifact_id", "page", "x", "y", "text", "noise")
+    lines = spread(fragment_lines(fragments)).withColumn("noise", line_noise("text", "before", "after")).filter(F.size("noise") > 0).select("artifact_id", "page", "x", "y", "text", "noise")
     body = rows.filter(~margin).select("artifact_id", "page", "x", "y", "text", "fragment_id").join(lines, ["artifact_id", "page", "x", "y", "text"]).select(F.lit("fragment").alias("src_table"), F.col("fragment_id").alias("row_id"), F.explode("noise").alias("noise"))
     blocks = hits.filter("text is not null and trim(text) <> ''").select(F.lit("search_hit").alias("src_table"), F.col("hit_id").alias("row_id"), F.explode(block_noise("text")).alias("noise"))
     return furniture.unionByName(body).unionByName(blocks)
@@ -469,4 +469,4 @@ def repair_fragments(fragments: DataFrame, lex: Lexicon) -> DataFrame:
         lex = get()
         return pd.Series([mend([t or "" for t in _clean([x["text"] for x in one])], lex) for one in ls], dtype=object)
 
-    return groups.select("artifact_id", "page", "paragraph_no", mended("ls").alias("text"))
+    return spread(groups).select("artifact_id", "page", "paragraph_no", mended("ls").alias("text"))
