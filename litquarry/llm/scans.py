@@ -35,6 +35,9 @@ HYPHEN = "-‐‑¬­"
 # What recognition writes, and what stood there.
 SINGLE = {"1": "il", "0": "o", "5": "s", "9": "g", "6": "b", "c": "e", "f": "t", "v": "y", "(": "c", "8": "b", "!": "il", "|": "il", "$": "s"}
 MERGED = [("ii", "u"), ("cl", "d"), ("li", "h"), ("rn", "m"), ("vv", "w"), ("m", "in"), ("n", "ri"), ("d", "cl"), ("m", "ni"), ("nn", "m"), ("tl", "d"), ("lc", "k")]
+MERGED_BY: dict[str, list[tuple[str, str]]] = {}
+for _bad, _good in MERGED:
+    MERGED_BY.setdefault(_bad[0], []).append((_bad, _good))
 NOISE = "^~*■�"
 JOINERS = set("and or nor und oder bzw sowie bis et ou y o u e to à as и или".split())
 _PUNCT = ".,;:()[]{}“”„\"'’‘!?%…<>«»。，；：、（）"
@@ -44,6 +47,10 @@ _NAMES = re.compile(r"^[A-ZÀ-Þ][\w(^~*■�'’.-]{2,}(?: (?:and|und|et|y) [A
 _JOURNAL = re.compile(r"(?:, Vol\. ?[\dOlSB]+|[.\w] [\dOlSB]{1,3} \([\dOlSB]{4}\)(?:[ ,]+[\dOlSB–-]+)?|/ .*\. [\dOlSB]{1,3}(?: \([\dOlSB]{4}\))?)\.?$")
 
 
+_TOKEN = re.compile(r"[^\s\-–—/.,;:()\[\]{}“”„\"!?%…<>«»。，；：、（）]+")
+_ODD = re.compile(r"[\^~*■�|$]|\w\(\w")
+
+
 def words_of(text: str) -> list[str]:
     """Words with punctuation stripped; compounds in their parts."""
     out = []
@@ -68,40 +75,52 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[self.END] = w
         self.common = max(50, total * 1e-4)
+        self.plain = frozenset(w for w, n in counts.items() if n >= self.common)
         self.memo: dict[str, tuple[str, bool] | None] = {}
+        self.verdicts: dict[str, bool] = {}
 
-    def retrieve(self, word: str, most: int) -> dict[str, tuple[tuple[str, str], ...]]:
-        """Every vocabulary word within ``most`` edits, merges counting as one, with its cheapest edits."""
+    def retrieve(self, word: str, most: int, every: bool = False) -> dict[str, tuple[tuple[str, str], ...]]:
+        """Every vocabulary word within ``most`` edits, merges and splits counting as one, with its cheapest edits.
+
+        ``every``: all edits of the Levenshtein automaton; else only its transitions that recognition is known to cause.
+        """
         n, end = len(word), self.END
         out: dict[str, tuple] = {}
         stack = [(self.root, 0, ())]
         seen = set()
         while stack:
             node, i, edits = stack.pop()
-            key = (id(node), i, edits)
+            key = (id(node), i, len(edits)) if not every else (id(node), i, edits)
             if key in seen:
                 continue
             seen.add(key)
             if i == n and end in node:
                 w = node[end]
-                if w not in out or self._likely(edits) > self._likely(out[w]) or len(edits) < len(out[w]):
+                if w not in out or len(edits) < len(out[w]) or self._likely(edits) > self._likely(out[w]):
                     out[w] = edits
             if i < n and word[i] in node:
                 stack.append((node[word[i]], i + 1, edits))
             if len(edits) < most:
-                for c, child in node.items():
-                    if c == end:
-                        continue
-                    if i < n and c != word[i]:
-                        stack.append((child, i + 1, (*edits, (word[i], c))))
-                    stack.append((child, i, (*edits, ("", c))))
-                if i < n:
-                    stack.append((node, i + 1, (*edits, (word[i], ""))))
-                for bad, good in MERGED:
+                c = word[i] if i < n else ""
+                if every or c in NOISE and c:
+                    for x, child in node.items():
+                        if x == end:
+                            continue
+                        if i < n and x != c:
+                            stack.append((child, i + 1, (*edits, (c, x))))
+                        if every:
+                            stack.append((child, i, (*edits, ("", x))))
+                    if every and i < n:
+                        stack.append((node, i + 1, (*edits, (c, ""))))
+                else:
+                    for x in SINGLE.get(c, ""):
+                        if x in node:
+                            stack.append((node[x], i + 1, (*edits, (c, x))))
+                for bad, good in MERGED_BY.get(c, ()):
                     if word.startswith(bad, i):
                         m = node
-                        for c in good:
-                            m = m.get(c)
+                        for x in good:
+                            m = m.get(x)
                             if m is None:
                                 break
                         if m is not None:
@@ -120,11 +139,13 @@ class Lexicon:
             return None
         if low in self.memo and not (before or after):
             return self.memo[low]
-        found = self.retrieve(low, 1)
-        explained = {w: e for w, e in found.items() if e and self._likely(e) == len(e)}
+        explained = {w: e for w, e in self.retrieve(low, 1).items() if e}
         if not explained and not mine and len(low) >= 7:
-            found = self.retrieve(low, 2)
-            explained = {w: e for w, e in found.items() if e and self._likely(e) == len(e)}
+            explained = {w: e for w, e in self.retrieve(low, 2).items() if e}
+        if not explained and not mine and len(low) >= 5 and (before or after):
+            # No known confusion: any word one edit away that its neighbours call for.
+            found = self.retrieve(low, 1, every=True)
+            explained = {w: e for w, e in found.items() if e and self.pairs.get(f"{before} {w}", 0) + self.pairs.get(f"{w} {after}", 0) >= 3}
         pool = {w: e for w, e in explained.items() if self.counts[w] >= (30 * mine if mine else 1)}
         result = None
         if pool:
@@ -136,6 +157,14 @@ class Lexicon:
 
     def misread(self, core: str) -> bool:
         """Whether a word or number shows a wrong character."""
+        got = self.verdicts.get(core)
+        if got is None:
+            if len(self.verdicts) > 300_000:
+                self.verdicts.clear()
+            got = self.verdicts[core] = self._misread(core)
+        return got
+
+    def _misread(self, core: str) -> bool:
         if len(core) > 30:
             return False
         letters = sum(c.isalpha() for c in core)
@@ -167,6 +196,10 @@ class Lexicon:
 
 def read_line(text: str, lex: Lexicon, head: str = "", tail: str = "") -> bool:
     """Whether a line holds a misread. ``head``: what precedes its first word in a broken word, ``tail``: what follows its last."""
+    if not head and not tail and _ODD.search(text) is None:
+        rest = set(_TOKEN.findall(text.lower())) - lex.plain
+        if all(t.isdigit() for t in rest):
+            return False
     tokens = text.split()
     for k, raw in enumerate(tokens):
         if len(raw) > 60:
@@ -269,26 +302,38 @@ def furniture_lines(lines: list[str]) -> set[int]:
 _HAN = re.compile(r"[㐀-鿿]")
 
 
+_SOFT = re.compile("\xad(?=[ \t]*(?:\r?\n|$))")
+# What unification leaves alone: ASCII, precomposed Latin letters, common signs and ideographs. Other texts go through it.
+_UNUSUAL = re.compile("[^\t\n\x20-\x7e°±×¬·À-ÖØ-öø-ĲĴ-ĿŁ-ňŊ-ž–—“”‘’…₀-₉■�㐀-鿿。，；：、！？]")
+
+
 def _clean(values) -> list[str]:
     """Unified texts; a soft hyphen at the end of a line keeps showing."""
-    kept = [re.sub("­(?=[ \t]*(?:\r?\n|$))", "¬", v) if isinstance(v, str) else None for v in values]
-    return unify_arrow(pa.array(kept, type=pa.string())).to_pylist()
+    out = [v if isinstance(v, str) else None for v in values]
+    odd = [i for i, v in enumerate(out) if v is not None and _UNUSUAL.search(v)]
+    if odd:
+        kept = [_SOFT.sub("¬", out[i]) for i in odd]
+        for i, v in zip(odd, unify_arrow(pa.array(kept, type=pa.string())).to_pylist()):
+            out[i] = v
+    return out
 
 
-def build_lexicon(texts: DataFrame) -> Lexicon:
-    """The vocabulary of a column ``text`` over all rows. Batches are counted before the shuffle; words and pairs below the relative
+def build_lexicon(texts: DataFrame, pairs: bool = True) -> Lexicon:
+    """The vocabulary of a column ``text`` over all rows, with word pairs where ranking by context is wanted. Batches are counted before the shuffle; words and pairs below the relative
     floor stay on the executors, so the driver gets at most ``1 / FLOOR`` of each."""
 
     def count(frames):
         for f in frames:
             one, two = Counter(), Counter()
             for t in _clean(f["text"]):
-                for line in (t or "").split("\n"):
-                    w = [x.lower() for x in words_of(line)]
-                    if line.rstrip()[-1:] in HYPHEN and w:
-                        w = w[:-1]
+                for line in (t or "").lower().split("\n"):
+                    w = _TOKEN.findall(line)
+                    if w and line.rstrip()[-1:] in HYPHEN:
+                        w.pop()
                     one.update(w)
-                    two.update(f"{a} {b}" for a, b in zip(w, w[1:]))
+                    if pairs:
+                        two.update(f"{a} {b}" for a, b in zip(w, w[1:]))
+            one = {w: n for w, n in one.items() if len(w) <= 30}
             yield pd.DataFrame({"kind": [1] * len(one) + [2] * len(two), "w": [*one, *two], "n": [*one.values(), *two.values()]})
 
     ensure_checkpoint_dir(texts.sparkSession)
@@ -362,7 +407,7 @@ def _block_noise(text: str, lex: Lexicon) -> list[str]:
 def find_noise(fragments: DataFrame, hits: DataFrame) -> DataFrame:
     """``src_table, row_id, noise``: one row for each kind of noise a row holds."""
     spark = fragments.sparkSession
-    lex = build_lexicon(fragments.select("text").unionByName(hits.select("text")))
+    lex = build_lexicon(fragments.select("text").unionByName(hits.select("text")), pairs=False)
     get = _shared(spark, lex)
 
     @F.pandas_udf("array<string>")
