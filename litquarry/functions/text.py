@@ -1,0 +1,119 @@
+"""Text functions. Where a Unicode fold has no built-in, one Arrow function does it; the rest stays in code generation."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Printed ligatures, in code order.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+HAN = "\\x{3400}-\\x{9fff}"
+
+
+@F.pandas_udf("string")
+def nfkc_casefold(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
+
+
+@F.pandas_udf("string")
+def nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+
+
+def squeeze(c: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(c, r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " "))
+
+
+def search_text(c: Column, full: bool = True) -> Column:
+    """Search view of a text. ``full`` folds compatibility forms and case by the Arrow function, else only case."""
+    c = nfkc_casefold(c) if full else F.lower(c)
+    c = F.regexp_replace(c, r"(?<=[a-z])-\s*\n\s*(?=[a-z])", "")
+    c = squeeze(c)
+    c = F.regexp_replace(c, r"(?<=[0-9])\s+%", "%")
+    c = F.regexp_replace(c, "[−–—⎯]", "-")
+    c = F.regexp_replace(c, r"(?<=[+-])\s+(?=[0-9])", "")
+    c = F.regexp_replace(c, r"(?<=[0-9])[∙⋅](?=[0-9])", ".")
+    return F.regexp_replace(c, f"(?<=[{HAN}])\\s+(?=[{HAN}])", "")
+
+
+def furniture_key(c: Column) -> Column:
+    """Line with digits masked, for repeated margins."""
+    return F.regexp_replace(F.lower(squeeze(c)), "[0-9]+", "#")
+
+
+def quotation(c: Column) -> Column:
+    """Ligatures opened and white space squeezed; compatibility forms stay."""
+    for k, v in LIGATURES.items():
+        c = F.replace(c, F.lit(k), F.lit(v))
+    return squeeze(c)
+
+
+def number_signature(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"([0-9]+(?:[.,][0-9]+)?)"), F.lit(1))
+
+
+def suspicious_ratio(c: Column) -> Column:
+    """Share of replacement, control and private-use characters; white space controls do not count."""
+    bad = F.length(F.regexp_replace(c, r"[^\x{fffd}\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{e000}-\x{f8ff}]", ""))
+    return F.coalesce(F.try_divide(bad.cast("double"), F.length(c)), F.lit(0.0))
+
+
+def contains_cjk(c: Column) -> Column:
+    return c.rlike(f"[{HAN}]")
+
+
+def title_key(c: Column) -> Column:
+    """Words of a title in lower case, markup and punctuation gone."""
+    c = F.regexp_replace(c, r"</?[A-Za-z]{1,8}(?:\s[^>]*)?/?>", "")
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
+
+
+def csv_guard(c: Column) -> Column:
+    """Cell text that a spreadsheet would run gets an apostrophe."""
+    return F.when(F.ltrim(c).rlike(r"^[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
+
+
+def markdown_escape(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"([\\`*_\[\]<>|#])", r"\\$1"), r"\r?\n", " ")
+
+
+def citation_labels(c: Column, most: int = 25) -> Column:
+    """``[1,3-5]`` as 1, 3, 4, 5; ranges longer than ``most`` and malformed parts are left out."""
+    parts = F.split(F.regexp_replace(c, r"[\[\]\s]", ""), "[,;]")
+
+    def expand(p: Column) -> Column:
+        a = F.regexp_extract(p, r"^([0-9]+)", 1).try_cast("int")
+        b = F.coalesce(F.regexp_extract(p, r"^[0-9]+[-–—]([0-9]+)$", 1).try_cast("int"), a)
+        ok = p.rlike(r"^[0-9]+(?:[-–—][0-9]+)?$") & (b >= a) & (b - a < most)
+        return F.when(ok, F.sequence(a, F.when(ok, b).otherwise(a))).otherwise(F.array().cast("array<int>"))
+
+    return F.array_distinct(F.flatten(F.transform(parts, expand)))
+
+
+@F.pandas_udf("double")
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp ratio of two texts."""
+    from difflib import SequenceMatcher
+
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+
+
+@F.pandas_udf("struct<deletions:int,insertions:int,substitutions:int>")
+def edit_counts(expected: pd.Series, actual: pd.Series) -> pd.DataFrame:
+    """Characters lost, added and replaced; an uneven replacement counts its surplus as loss or addition."""
+    from difflib import SequenceMatcher
+
+    rows = []
+    for x, y in zip(expected, actual):
+        lost = added = changed = 0
+        for tag, i, j, k, m in SequenceMatcher(None, x or "", y or "", autojunk=False).get_opcodes():
+            if tag == "equal":
+                continue
+            both = min(j - i, m - k)
+            changed, lost, added = changed + both, lost + j - i - both, added + m - k - both
+        rows.append((lost, added, changed))
+    return pd.DataFrame(rows, columns=["deletions", "insertions", "substitutions"]).astype("int32")

@@ -17,3 +17,10 @@ def query(name: str, sql: str | None = None):
         return f
 
     return wrap
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from litquarry.plans import q_functions, q_relations  # noqa: F401
+
+
