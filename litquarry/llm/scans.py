@@ -292,7 +292,8 @@ def furniture_lines(lines: list[str]) -> set[int]:
         paged = bool(re.match(r"^[\dOlSB]{1,4}\s{2,}\S", s)) or bool(re.search(r"\S\s{2,}[\dOlSB]{1,4}$", s))
         i = filled.index(k)
         # A line broken although the next word would have fitted is no line of running text.
-        early = i + 1 < len(filled) and len(s) + 1 + len(lines[filled[i + 1]].split()[0]) <= 0.95 * width and len(s) < 0.75 * width
+        after = next((lines[j].split()[0] for j in filled[i + 1 :] if j not in out), "")
+        early = bool(after) and s[-1] not in HYPHEN and len(s) + 1 + len(after) <= 0.95 * width and len(s) < 0.75 * width
         edge = shape and i in (0, len(filled) - 1) and len(s) < 0.75 * width
         if not ended and (paged or edge or (shape and (near or (title and interrupts(k)))) or (near and title and (interrupts(k) or shape)) or (title and early)):
             out.add(k)
