@@ -80,7 +80,7 @@ def canonical_url(c: Column) -> Column:
     c = F.regexp_replace(c, r"^\[[^\]]*\]\((https?://.+)\)$", "$1")
     for left, right in (("<", ">"), ('"', '"'), ("'", "'")):
         c = F.when(c.startswith(left) & c.endswith(right) & (F.length(c) >= 2), F.trim(c.substr(F.lit(2), F.length(c) - 2))).otherwise(c)
-    pattern = r"^(https?)://([^/?#@\s]+)([^\s#?]*)((?:\?[^\s#]*)?)(?:#\S*)?$"
+    pattern = r"^(https?)://([^/?#@\s]+)((?:/[^\s#?]*)?)((?:\?[^\s#]*)?)(?:#\S*)?$"
     valid = c.rlike(f"(?i){pattern}")
     part = lambda k: F.regexp_extract(c, f"(?i){pattern}", k)
     host = F.lower(part(2))

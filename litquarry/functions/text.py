@@ -7,18 +7,19 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 # Printed ligatures, in code order.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 HAN = "\\x{3400}-\\x{9fff}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
@@ -94,7 +95,7 @@ def citation_labels(c: Column, most: int = 25) -> Column:
     return F.array_distinct(F.flatten(F.transform(parts, expand)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts."""
     from difflib import SequenceMatcher
@@ -102,7 +103,7 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-@F.pandas_udf("struct<deletions:int,insertions:int,substitutions:int>")
+@F.pandas_udf(StructType([StructField(k, IntegerType()) for k in ("deletions", "insertions", "substitutions")]))
 def edit_counts(expected: pd.Series, actual: pd.Series) -> pd.DataFrame:
     """Characters lost, added and replaced; an uneven replacement counts its surplus as loss or addition."""
     from difflib import SequenceMatcher
