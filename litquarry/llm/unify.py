@@ -118,7 +118,7 @@ def compose(cp: np.ndarray, row: np.ndarray, t: SimpleNamespace) -> tuple[np.nda
         is_start = ccc == 0
         is_start |= np.r_[True, row[1:] != row[:-1]]
         base = np.maximum.accumulate(np.where(is_start, at, 0))
-        marks = np.flatnonzero((ccc > 0) & ~is_start)
+        marks = np.flatnonzero(ccc > 0)  # those before the first letter of a text are ordered among themselves
         order = marks[np.lexsort((marks, ccc[marks], base[marks]))]
         cp[marks] = cp[order]
         ccc[marks] = ccc[order]
