@@ -78,6 +78,9 @@ _EMAIL = re.compile(r"^[\w.+-]+(?:@| @ |\s?[(\[]at[)\]]\s?| at )[\w-]+(?:(?:\.|\
 _DIALLED = re.compile(r"(?:\+|00(?:1|33|34|39|41|43|44|49|86))[ (]?\d[\d ()/-]{7,}$")
 # Names of bodies are no names of people.
 _BODY = re.compile(r"\b(?:Institut\w*|University|Universität|Université|Universidad|Group|Laborator\w*|Academy|Centre|Center|Consortium|archive|Society|College|Department|Ltd|GmbH|Inc)\b", re.I)
+_NAME_LINE = re.compile(r"([^\W\d_][^\d\n]{2,38}[^\W\d_])\r?\n(?=\S[^\n]*\d)")
+# Labels of numbers that belong to things.
+_THING = re.compile(r"(?:\bLot|\bVersion|\bmark|\bcode|\brelease|\bdataset|\baccession|\bGrant|\bsample|\bFig\.|\bTable|\bBands at|\bcounter read|\bdoi|项目|将样品|\bProbe|\bmuestra|échantillon)\s*$", re.I)
 _LABEL = {
     "name": re.compile(r"^(?:(?:Dr|Prof|Mr|Ms|Mrs|Frau|Herr|Mme|Sr|Sra|Dear)\.?\s+)+"),
     "phone": re.compile(r"^(?:Tel\.?:?|phone|电话)\s*"),
@@ -111,6 +114,8 @@ def check(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     digits = sum(c.isdigit() for c in v)
     if kind == "email" and not ("@" in v or re.search(r"\bat\b", v)):
         return None
+    if kind in ("phone", "id_number") and _THING.search(text[max(0, a - 16) : a]):
+        return None
     if kind == "phone" and not 7 <= digits <= 20:
         return None
     if kind == "id_number" and digits < 4:
@@ -146,6 +151,9 @@ def find_spans(texts: list[str | None], net: Tagger | None = None) -> list[list[
                 b = a + 1
                 while b < len(y) and y[b] == TAGS.index(f"I-{kind}"):
                     b += 1
+                if kind == "address" and (m := _NAME_LINE.match(folded[a:b])):  # a signature: the name stands on a line of its own
+                    out[i].append((a, a + m.end(1), "name"))
+                    a += m.end()
                 if (v := check(folded, a, b, kind)) and v[0] >= end:
                     if kind == "id_number" and _DIALLED.match(folded[v[0] : v[1]]):
                         kind = "phone"
