@@ -45,14 +45,13 @@ def duplicate_characters(lines: DataFrame, text: Column, by: list[str]) -> DataF
 
 def review_score(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Precision, recall and accuracy of judged cases (``expected_present, present, correct, record_id``)."""
-    by = by or []
+    keys = by or ["_all"]
+    cases = cases if by else cases.withColumn("_all", F.lit(1))
     ok, hit = F.col("correct"), F.col("present")
-    per = cases.groupBy(*by, "record_id").agg(F.every(ok).alias("whole"))
-    wholes = per.groupBy(*by).agg(F.count_if("whole").alias("complete_records"), F.count("*").alias("records")) if by else per.agg(F.count_if("whole").alias("complete_records"), F.count("*").alias("records"))
-    a = [F.count("*").alias("cases"), F.count_if(hit & ok).alias("true_present"), F.count_if(hit).alias("present_cases"), F.count_if("expected_present").alias("expected_cases"), F.count_if(ok).alias("correct_cases")]
-    s = cases.groupBy(*by).agg(*a) if by else cases.agg(*a)
-    s = s.join(wholes, by) if by else s.crossJoin(wholes)  # one row each
-    return s.select(*by, "cases", ratio(F.col("true_present"), F.col("present_cases")).alias("precision"), ratio(F.col("true_present"), F.col("expected_cases")).alias("recall"), ratio(F.col("correct_cases"), F.col("cases")).alias("accuracy"), ratio(F.col("complete_records"), F.col("records")).alias("record_accuracy"))
+    wholes = cases.groupBy(*keys, "record_id").agg(F.every(ok).alias("whole")).groupBy(*keys).agg(F.count_if("whole").alias("complete_records"), F.count("*").alias("records"))
+    s = cases.groupBy(*keys).agg(F.count("*").alias("cases"), F.count_if(hit & ok).alias("true_present"), F.count_if(hit).alias("present_cases"), F.count_if("expected_present").alias("expected_cases"), F.count_if(ok).alias("correct_cases"))
+    s = s.join(wholes, keys)
+    return s.select(*(by or []), "cases", ratio(F.col("true_present"), F.col("present_cases")).alias("precision"), ratio(F.col("true_present"), F.col("expected_cases")).alias("recall"), ratio(F.col("correct_cases"), F.col("cases")).alias("accuracy"), ratio(F.col("complete_records"), F.col("records")).alias("record_accuracy"))
 
 
 def exclusive_time(spans: DataFrame, span_id: str, parent: str, seconds: str) -> DataFrame:

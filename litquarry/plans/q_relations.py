@@ -210,8 +210,8 @@ def jn7(spark, sf):
 @query("jn9_adjacent_quote")
 def jn9(spark, sf):
     f = table(spark, sf, "fragment").filter("text is not null").select("artifact_id", "page", "fragment_id", "text")
-    q = spark.createDataFrame([("organic carbon. Neither",), ("lattice estimate. The",), ("beam time and",)], "quote string")
-    src = f.select("artifact_id").distinct().crossJoin(F.broadcast(q))  # three fixed quotes
+    quotes = F.array(*[F.lit(q) for q in ("organic carbon. Neither", "lattice estimate. The", "beam time and")])
+    src = f.select("artifact_id").distinct().select("artifact_id", F.explode(quotes).alias("quote"))
     return J.spanning(src, f, "artifact_id", "quote", "text", "fragment_id", "page").select("artifact_id", "fragment_id", "quote")
 
 

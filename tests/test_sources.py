@@ -158,3 +158,23 @@ def test_streams(spark, tmp_path):
         q = E.process_once(log, str(tmp_path / "done"), ["event_id"], work, str(tmp_path / f"cp{_}"))
         q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "done")).count() == 12
+
+
+def test_pdf_dois_and_packs(spark):
+    from litquarry.functions.pdftext import extract_pdf_dois
+    from litquarry.operators import evidence as V
+    from litquarry.operators.aggregates import review_score
+
+    df = spark.createDataFrame([("doi １０. 1234 / a–b. 2020 and 10.1234/c. Next",), (None,)], "t string")
+    assert [r[0] for r in df.select(extract_pdf_dois(F.col("t"))).collect()] == [["10.1234/a-b.2020", "10.1234/c"], None]
+    b = spark.createDataFrame([("a", 1, 2, "x*y"), ("a", 2, 1, None), ("a", 3, 1, "z")], "k string, o int, p int, t string")
+    assert V.pack_markdown(b, "k", "k", ["p", "o"], "p", "t").first()["markdown"] == "# a\n\n- p. 1: z\n- p. 2: x\\*y"
+    c = spark.createDataFrame([(1, True, True, True), (1, True, True, False), (2, False, False, True), (3, True, False, False)], "record_id int, expected_present boolean, present boolean, correct boolean")
+    assert tuple(review_score(c).first()) == (4, 0.5, 0.333333, 0.5, 0.333333)
+
+
+def test_greedy_suppression(spark):
+    from litquarry.operators import evidence as V
+
+    h = spark.createDataFrame([("a", 1, [1, 2], 3.0), ("a", 2, [2, 9], 2.0), ("a", 3, [5, 6, 7], 1.0), ("b", 1, [1], 1.0)], "k string, i int, b array<int>, s double")
+    assert sorted((r["k"], r["i"], r["kept"]) for r in V.keep_greedily(h, "k", "i", "b", "s").collect()) == [("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 1, True)]
