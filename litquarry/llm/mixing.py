@@ -50,10 +50,9 @@ def targets(sized: DataFrame, plans: DataFrame) -> DataFrame:
     ``sized`` is reduced to one row per source before anything is joined; the result has as many rows as ``plans``.
     """
     supply = sized.groupBy("source").agg(F.sum("tokens").alias("supply"), F.count("*").alias("docs"))
-    total = supply.agg(F.sum("supply").alias("corpus_tokens"))
+    total = int(supply.agg(F.sum("supply")).first()[0] or 0)
     return (
         plans.join(supply, "source", "left")
-        .crossJoin(total)  # one row
         .select(
             "plan_id",
             "source",
@@ -62,7 +61,7 @@ def targets(sized: DataFrame, plans: DataFrame) -> DataFrame:
             "total_ratio",
             F.coalesce("supply", F.lit(0)).alias("supply"),
             F.coalesce("docs", F.lit(0)).alias("docs"),
-            F.coalesce("corpus_tokens", F.lit(0)).alias("corpus_tokens"),
+            F.lit(total).cast("bigint").alias("corpus_tokens"),
         )
         .withColumn("wanted", F.col("target_share") * F.col("total_ratio") * F.col("corpus_tokens"))
         .withColumn("reachable", F.least("wanted", F.col("supply") * F.col("max_repeats").cast("double")))
