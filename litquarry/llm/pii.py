@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .pii_net import TAGS, TYPES, Tagger, char_ids, codes, fold_text
 
-WINDOW, STRIDE = 160, 112
+WINDOW, STRIDE = 320, 272
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 BATCH_CHARS = 400_000
 
