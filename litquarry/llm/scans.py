@@ -48,6 +48,7 @@ _JOURNAL = re.compile(r"(?:, Vol\. ?[\dOlSB]+|[.\w] [\dOlSB]{1,3} \([\dOlSB]{4}\
 
 
 _TOKEN = re.compile(r"[^\s\-–—/.,;:()\[\]{}“”„\"!?%…<>«»。，；：、（）]+")
+_CODE = re.compile(r"(?![lo]\d)[a-z]{1,2}\d{3,}$|\d+[a-z]{0,2}$(?<![olsb])")
 _ODD = re.compile(r"[\^~*■�|$]|\w\(\w")
 
 
@@ -197,8 +198,9 @@ class Lexicon:
 def read_line(text: str, lex: Lexicon, head: str = "", tail: str = "") -> bool:
     """Whether a line holds a misread. ``head``: what precedes its first word in a broken word, ``tail``: what follows its last."""
     if not head and not tail and _ODD.search(text) is None:
+        # Words that prevail, numbers and clean codes are passed over; a word with a remembered verdict costs one look-up.
         rest = set(_TOKEN.findall(text.lower())) - lex.plain
-        if all(t.isdigit() for t in rest):
+        if all(t.isdigit() or _CODE.match(t) or (t.replace("'", "").isalpha() and not lex.misread(t)) for t in rest):
             return False
     tokens = text.split()
     for k, raw in enumerate(tokens):
