@@ -426,7 +426,10 @@ def find_noise(fragments: DataFrame, hits: DataFrame) -> DataFrame:
     rows = fragments.filter("text is not null and trim(text) <> ''")
     margin = ((F.col("y") >= TOP) | (F.col("y") <= BOTTOM))
     furniture = rows.filter(margin).select(F.lit("fragment").alias("src_table"), F.col("fragment_id").alias("row_id"), F.lit("furniture").alias("noise"))
-    lines = spread(fragment_lines(fragments)).withColumn("noise", line_noise("text", "before", "after")).filter(F.size("noise") > 0).select("artifact_id", "page", "x", "y", "text", "noise")
+    # Neighbours are needed only at line ends that may break a word.
+    ends = r"[-\x{2010}\x{2011}\x{ac}\x{ad}\x{ff0d}][\s\x{a0}\x{2000}-\x{200f}\x{202f}\x{2060}\x{2063}\x{3000}\x{feff}]*$"
+    lines = fragment_lines(fragments).select("artifact_id", "page", "x", "y", "text", F.when(F.col("before").rlike(ends), F.col("before")).alias("before"), F.when(F.col("text").rlike(ends), F.col("after")).alias("after"))
+    lines = spread(lines).withColumn("noise", line_noise("text", "before", "after")).filter(F.size("noise") > 0).select("artifact_id", "page", "x", "y", "text", "noise")
     body = rows.filter(~margin).select("artifact_id", "page", "x", "y", "text", "fragment_id").join(lines, ["artifact_id", "page", "x", "y", "text"]).select(F.lit("fragment").alias("src_table"), F.col("fragment_id").alias("row_id"), F.explode("noise").alias("noise"))
     blocks = hits.filter("text is not null and trim(text) <> ''").select(F.lit("search_hit").alias("src_table"), F.col("hit_id").alias("row_id"), F.explode(block_noise("text")).alias("noise"))
     return furniture.unionByName(body).unionByName(blocks)

@@ -72,9 +72,8 @@ def tables() -> SimpleNamespace:
             return [c]  # a composition of two letters stays as it is
         return out
 
-    for c in range(SIZE):
-        if 0xD800 <= c <= 0xDFFF:
-            continue
+    # Planes 4 to 13 hold no characters, 15 and 16 only private ones.
+    for c in (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE0200)):
         s = chr(c)
         kind = unicodedata.category(s)
         if kind in ("Cn", "Co"):
