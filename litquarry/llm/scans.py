@@ -322,8 +322,8 @@ def _clean(values) -> list[str]:
 
 
 def build_lexicon(texts: DataFrame, pairs: bool = True) -> Lexicon:
-    """The vocabulary of a column ``text`` over all rows, with word pairs where ranking by context is wanted. Batches are counted before the shuffle; words and pairs below the relative
-    floor stay on the executors, so the driver gets at most ``1 / FLOOR`` of each."""
+    """The vocabulary of a column ``text`` over its distinct lines, with word pairs where ranking by context is wanted. A line that is repeated or redelivered counts once, so copies do
+    not vouch for their own misreads; they are dropped before the shuffle. Words and pairs below the relative floor stay on the executors, so the driver gets at most ``1 / FLOOR`` of each."""
 
     def count(frames):
         for f in frames:
@@ -340,7 +340,8 @@ def build_lexicon(texts: DataFrame, pairs: bool = True) -> Lexicon:
             yield pd.DataFrame({"kind": [1] * len(one) + [2] * len(two), "w": [*one, *two], "n": [*one.values(), *two.values()]})
 
     ensure_checkpoint_dir(texts.sparkSession)
-    counts = texts.select("text").filter("text <> ''").mapInPandas(count, "kind int, w string, n bigint").groupBy("kind", "w").agg(F.sum("n").alias("n")).filter(f"n >= {LEAST}").checkpoint()
+    lines = texts.select(F.explode(F.split("text", r"\r\n?|\n")).alias("text")).select(F.trim("text").alias("text")).filter("text <> ''").distinct()
+    counts = lines.mapInPandas(count, "kind int, w string, n bigint").groupBy("kind", "w").agg(F.sum("n").alias("n")).filter(f"n >= {LEAST}").checkpoint()
     total = counts.filter("kind = 1").agg(F.sum("n")).first()[0] or 0
     floor = max(LEAST, math.ceil(total * FLOOR))
     got = counts.filter(F.col("n") >= floor).toPandas()

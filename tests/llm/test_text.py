@@ -135,6 +135,15 @@ def test_noise_rows(spark):
     assert scans.find_noise(f.limit(0), h.limit(0)).count() == 0
 
 
+def test_copies_do_not_vouch_for_their_misreads(spark):
+    good = [(k, f"a{k}", 1, f"probe {chr(97 + k % 26)}{chr(97 + k // 26)}q was measured", 50.0, 700.0, 9.0, False) for k in range(100)]
+    copies = [(200 + k, "z", 1, "then rneasured again", 50.0, 600.0, 9.0, False) for k in range(60)]
+    f = spark.createDataFrame(good + copies, "fragment_id long, artifact_id string, page int, text string, x double, y double, font_size double, bold boolean")
+    h = spark.createDataFrame([(k, "first line\r\nthen rneasured again") for k in range(60)], "hit_id long, text string")
+    got = sorted(map(tuple, scans.find_noise(f, h).collect()))
+    assert got == [("fragment", 200 + k, "misread") for k in range(60)] + [("search_hit", k, "misread") for k in range(60)]
+
+
 def test_pages(spark):
     body = "<p>The residual was dominated by losses of the anode, not by water itself.</p>"
     cases = {1: f"<html><title>T</title><body><nav>Home</nav>{body}</body></html>", 2: "<html><title>T</title><body><p>{{abstract}}</p></body></html>", 3: "<body><noscript>Please enable JavaScript.</noscript></body>", 4: "<body><p>404 – the page you asked for is not here.</p></body>", 5: f"<body><noscript>Please enable JavaScript.</noscript>{body}</body>", 6: "<body><p>Lorem ipsum dolor sit amet elit.</p></body>", 7: None, 8: "<p>The resid"}
