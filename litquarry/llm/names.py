@@ -5,7 +5,7 @@ names, legal-form abbreviations, acronyms, token order, transliteration, one-let
 its own canonical form (plus its one-letter deletions). The forms are exploded and equi-joined. A form is scored by its rarity, the
 share of one over the number of entries that have it; only forms that single out an entry link, the most exact kind first. A link
 through deletions is confirmed by edit distance (one insertion, deletion, substitution or swap) and refused where the differing
-token is itself an established name: one nearly as frequent as the entry's token, or a regular syllable pair of a romanised name.
+token is itself an established name: one in nearly as many distinct author lists as the entry's token, or a regular syllable pair of a romanised name.
 
 Work is done on distinct written names; the authority side is joined by the optimiser's choice. Defined results: null elements,
 null or empty arrays give nothing; titles, degree marks, footnote marks and brackets around a name are ignored; a written name equal
@@ -201,9 +201,10 @@ def _confirm(kind: str, mine: str, theirs: str) -> bool:
 
 
 def link_names(written: DataFrame, authority: DataFrame, established: float = 0.05) -> DataFrame:
-    """``written_name, author_id, kind, confidence`` for the distinct names of ``written`` (a column ``name``).
+    """``written_name, author_id, kind, confidence`` for the distinct names of ``written`` (a column ``name``, and ``list_key`` of the author list it stands in).
 
-    ``established``: a token at least this often as frequent as the entry's token is a name of its own, no slip.
+    ``established``: a token in more than this share of the author lists that have the entry's token, and in more than three, is a name of its own, no slip.
+    Lists are counted once, however often they are repeated or redelivered; without ``list_key`` each written name counts once.
     """
 
     @F.pandas_udf("array<struct<form:string,kind:string,detail:string>>")
@@ -223,7 +224,7 @@ def link_names(written: DataFrame, authority: DataFrame, established: float = 0.
     def regular(token: pd.Series) -> pd.Series:
         return token.map(lambda t: bool(t and _PINYIN.match(t))).astype(bool)
 
-    names = written.filter("name is not null and trim(name) <> ''").groupBy("name").agg(F.count("*").alias("uses"))
+    names = written.filter("name is not null and trim(name) <> ''").groupBy("name").agg((F.count_distinct("list_key") if "list_key" in written.columns else F.lit(1)).alias("uses"))
     mine = names.withColumn("f", F.explode(forms("name"))).select("name", "uses", "f.*")
     auth = authority.withColumn("f", F.explode(rewritings("preferred_name", "native_name", "kind"))).select("author_id", "preferred_name", F.col("native_name").isNotNull().alias("romanised"), "f.*")
     hits = mine.join(auth, "form").filter(confirmed("kind", "detail", "theirs"))
@@ -246,10 +247,11 @@ def link_names(written: DataFrame, authority: DataFrame, established: float = 0.
 
 
 def name_elements(df: DataFrame, src_table: str, id_col: str, authors_col: str = "authors") -> DataFrame:
-    return df.select(F.lit(src_table).alias("src_table"), F.col(id_col).alias("row_id"), F.posexplode(authors_col).alias("author_pos", "name")).withColumn("author_pos", F.col("author_pos").cast("bigint"))
+    """One row for every element of the author lists; copies of a list share its ``list_key``."""
+    return df.select(F.lit(src_table).alias("src_table"), F.col(id_col).alias("row_id"), F.xxhash64(authors_col).alias("list_key"), F.posexplode(authors_col).alias("author_pos", "name")).withColumn("author_pos", F.col("author_pos").cast("bigint"))
 
 
 def link_elements(elements: DataFrame, authority: DataFrame) -> DataFrame:
     """Every element with the entry it stands for."""
-    links = link_names(elements.select("name"), authority)
-    return elements.join(links, "name")
+    links = link_names(elements.select("name", "list_key"), authority)
+    return elements.drop("list_key").join(links, "name")

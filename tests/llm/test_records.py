@@ -33,6 +33,16 @@ def test_name_elements(spark, authority):
     assert sorted(map(tuple, got)) == [(1, 0, 2, "exact"), (1, 1, 2, "full")]
 
 
+def test_copies_do_not_establish_a_slip(spark, authority):
+    copied = [(k, ["Elizabeth Dorasek", "Nora Quell"]) for k in range(40)] + [(100 + k, ["Elizabeth Dorrasek", f"Co Author{chr(97 + k)}"]) for k in range(10)]
+    df = spark.createDataFrame(copied, "record_id long, authors array<string>")
+    got = names.link_elements(names.name_elements(df, "t", "record_id"), authority).filter("kind = 'full_typo'").select("row_id", "author_pos", "author_id").collect()
+    assert sorted(map(tuple, got)) == [(k, 0, 2) for k in range(40)]
+    # In many different lists it is a name of its own.
+    df = spark.createDataFrame([(k, ["Elizabeth Dorasek", f"Co Author{chr(97 + k)}"]) for k in range(20)], "record_id long, authors array<string>")
+    assert names.link_elements(names.name_elements(df, "t", "record_id"), authority).count() == 0
+
+
 REQUEST = "request_id long, doi string, title string, authors array<string>, journal string, year int, volume string, issue string, pages string"
 RECORD = REQUEST.replace("request_id", "record_id")
 
