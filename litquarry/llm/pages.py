@@ -3,7 +3,8 @@
 Method: the page is reduced to the sentences of its body (title, menus, headers and footers aside). Detectors sort each sentence into
 placeholder, filler, error, notice or prose; the terms of address slug and title are compared with those of the body. Bodies that
 repeat, digits aside, under several titles on several hosts although their terms match neither title nor address are
-responses of a system, whatever their words. A page is excluded when nothing of its body is prose.
+responses of a system if they hold at most two sentences of prose and one of another kind. A page is excluded when nothing
+of its body is prose or when its body is such a response. Bodies are compared whole, whatever their length.
 
 Defined results: PDF responses and pages with neither text nor parse are never excluded; where only a parse was kept its visible text
 counts; an empty body (nothing but title, menus and footers) is excluded; cut bodies are read as far as they go.
@@ -11,6 +12,7 @@ counts; an empty body (nothing but title, menus and footers) is excluded; cut bo
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -93,7 +95,7 @@ def sort_sentence(s: str, title: str) -> str:
 
 
 def judge(text, visible, title, url) -> dict:
-    """Counts of sentence kinds, shares of title and slug terms found in the body, and the digit-masked body for comparison."""
+    """Counts of sentence kinds, shares of title and slug terms found in the body, and a digest of the digit-masked body for comparison."""
     parts, t = blocks(text, visible, title)
     counts = dict.fromkeys(("prose", "placeholder", "filler", "notice", "error", "chrome"), 0)
     for b in parts:
@@ -110,7 +112,8 @@ def judge(text, visible, title, url) -> dict:
     mine = set(w.lower() for w in _WORD.findall(t))
     slug = set(w for w in re.findall(r"[a-z]{4,}", re.sub(r"^https?://[^/]*", "", str(url or "").lower())))
     share = lambda a: round(len(a & terms) / len(a), 3) if a else 0.0
-    return {**counts, "title_match": share(mine), "slug_match": share(slug), "body": re.sub(r"\d+|\b[0-9a-f]{6,}\b", "#", body)[:4000] if len(body) <= 1200 else ""}
+    masked = re.sub(r"\d+|\b[0-9a-f]{6,}\b", "#", body)
+    return {**counts, "title_match": share(mine), "slug_match": share(slug), "body": hashlib.md5(masked.encode("utf-8", "replace")).hexdigest() if masked else ""}
 
 
 SCHEMA = "struct<prose:int,placeholder:int,filler:int,notice:int,error:int,chrome:int,title_match:double,slug_match:double,body:string>"
@@ -127,14 +130,14 @@ def judge_pages(pages: DataFrame, parses: DataFrame, least_hosts: int = 3) -> Da
     h = parses.select("page_id", F.col("title").alias("parsed_title"), "visible_text")
     x = p.join(h, "page_id", "left").filter("text is not null or visible_text is not null")
     url = F.coalesce("final_url", "requested_url")
-    x = x.withColumn("host", F.lower(F.regexp_extract(url, r"^https?://([^/:]+)", 1))).withColumn("j", judged("text", "visible_text", "parsed_title", url)).select("page_id", "host", F.md5("j.body").alias("body_key"), (F.col("j.body") != "").alias("short"), F.md5(F.coalesce("parsed_title", "final_url")).alias("title_key"), *[f"j.{c}" for c in ("prose", "placeholder", "filler", "notice", "error", "chrome", "title_match", "slug_match")])
+    x = x.withColumn("host", F.lower(F.regexp_extract(url, r"^https?://([^/:]+)", 1))).withColumn("j", judged("text", "visible_text", "parsed_title", url)).select("page_id", "host", F.col("j.body").alias("body_key"), F.md5(F.coalesce("parsed_title", "final_url")).alias("title_key"), *[f"j.{c}" for c in ("prose", "placeholder", "filler", "notice", "error", "chrome", "title_match", "slug_match")])
     # Only bodies that match neither title nor address are compared; copies are combined before the shuffle.
-    loose = x.filter("short and title_match < 0.2 and prose <= 2").groupBy("body_key").agg(F.approx_count_distinct("host").alias("hosts"), F.approx_count_distinct("title_key").alias("titles"))
+    loose = x.filter("body_key <> '' and title_match < 0.2 and slug_match < 0.2 and prose <= 2").groupBy("body_key").agg(F.approx_count_distinct("host").alias("hosts"), F.approx_count_distinct("title_key").alias("titles"))
     repeated = loose.filter((F.col("hosts") >= least_hosts) & (F.col("titles") >= least_hosts))
     x = x.join(repeated, "body_key", "left")
     residue = F.col("placeholder") + F.col("filler") + F.col("notice") + F.col("error")
-    system = F.col("hosts").isNotNull() & (F.col("title_match") < 0.2) & (residue >= 1)
-    return x.withColumn("excluded", (F.col("prose") == 0) | system).drop("body_key", "short", "title_key", "host")
+    system = F.col("hosts").isNotNull() & (F.col("title_match") < 0.2) & (F.col("slug_match") < 0.2) & (residue >= 1)
+    return x.withColumn("excluded", (F.col("prose") == 0) | system).drop("body_key", "title_key", "host")
 
 
 def excluded_pages(pages: DataFrame, parses: DataFrame) -> DataFrame:

@@ -135,6 +135,17 @@ def test_noise_rows(spark):
     assert scans.find_noise(f.limit(0), h.limit(0)).count() == 0
 
 
+def test_long_repeated_responses(spark):
+    items = " ".join(f"<li>Volume list {k}</li>" for k in range(120))
+    system = f"<p>Error 503.</p><ul>{items}</ul><p>Readers everywhere value quick responses from us.</p>"
+    rows = [(k, f"https://h{k}.test/ionic-membranes-{k}", f"https://h{k}.test/ionic-membranes-{k}", f"<title>Ionic foam {chr(97 + k)}</title>{system}", False) for k in range(4)]
+    # The address names what the body is about.
+    rows += [(10 + k, f"https://g{k}.test/readers-value-quick-responses", f"https://g{k}.test/readers-value-quick-responses", f"<title>Ionic foam {chr(97 + k)}</title>{system}", False) for k in range(4)]
+    p = spark.createDataFrame(rows, "page_id long, requested_url string, final_url string, text string, is_pdf_response boolean")
+    h = spark.createDataFrame([(r[0], f"Ionic foam {r[0]}", None) for r in rows], "page_id long, title string, visible_text string")
+    assert sorted(r[0] for r in pages.excluded_pages(p, h).collect()) == [0, 1, 2, 3]
+
+
 def test_copies_do_not_vouch_for_their_misreads(spark):
     good = [(k, f"a{k}", 1, f"probe {chr(97 + k % 26)}{chr(97 + k // 26)}q was measured", 50.0, 700.0, 9.0, False) for k in range(100)]
     copies = [(200 + k, "z", 1, "then rneasured again", 50.0, 600.0, 9.0, False) for k in range(60)]
