@@ -49,6 +49,7 @@ _JOURNAL = re.compile(r"(?:, Vol\. ?[\dOlSB]+|[.\w] [\dOlSB]{1,3} \([\dOlSB]{4}\
 
 _TOKEN = re.compile(r"[^\s\-–—/.,;:()\[\]{}“”„\"!?%…<>«»。，；：、（）]+")
 _CODE = re.compile(r"(?![lo]\d)[a-z]{1,2}\d{3,}$|\d+[a-z]{0,2}$(?<![olsb])")
+_SIGNS = re.compile(r"[■�]|[^\W\d_][\^~*]+[^\W\d_]")
 _ODD = re.compile(r"[\^~*■�|$]|\w\(\w")
 
 
@@ -167,7 +168,7 @@ class Lexicon:
 
     def _misread(self, core: str) -> bool:
         if len(core) > 30:
-            return False
+            return _SIGNS.search(core) is not None
         letters = sum(c.isalpha() for c in core)
         digits = sum(c.isdigit() for c in core)
         if any(c in NOISE for c in core) and letters >= 2:
@@ -205,6 +206,8 @@ def read_line(text: str, lex: Lexicon, head: str = "", tail: str = "") -> bool:
     tokens = text.split()
     for k, raw in enumerate(tokens):
         if len(raw) > 60:
+            if _SIGNS.search(raw) and not raw.lstrip(_PUNCT).startswith(("http", "10.")):
+                return True
             continue
         if k == 0 and head:
             rest = raw.strip(_PUNCT)

@@ -120,6 +120,11 @@ def test_no_misreads(w):
     assert not LEX.misread(w)
 
 
+@pytest.mark.parametrize("w, wrong", [("水" * 40 + "■" + "水" * 40, True), ("水" * 80, False), ("a" * 20 + "�" + "b" * 20, True), ("https://x.test/" + "a" * 60 + "■", False)])
+def test_signs_in_long_tokens(w, wrong):
+    assert scans.read_line(w, LEX) is wrong
+
+
 def test_breaks_and_furniture():
     assert scans.broken("of the mea-", "sured water") and scans.broken("Tarnów-", "Dolny") and not scans.broken("the pre-", "and post-test") and not scans.broken("x -", "y") and not scans.broken("", "a")
     lines = ["The water was mea-", "– 12 –", "sured twice in the old mesh of", "Acta Ionica, Vol. 12", "the plant."]
