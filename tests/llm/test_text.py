@@ -125,6 +125,32 @@ def test_signs_in_long_tokens(w, wrong):
     assert scans.read_line(w, LEX) is wrong
 
 
+WIDE = scans.Lexicon({"correct": 90, "catalyst": 80, "the": 9000, "water": 500, "flow": 500, "hochtemperaturfestoxidbrennstoffzelle": 50}, {"the water": 50, "water flow": 20}, 20000)
+
+
+@pytest.mark.parametrize("line, wrong", [("the (orrect temperature was", True), ("the (atalyst was measured", True), ("the B123.5 temperature", True), ("the B1234.56 was", True), ("a hochtemperaturfestoxidbrennstoffze1le", True), ("a hochtemperaturfestoxidbrennstoffzcllc", True), ("使用cata1yst膜", True), ("the wader flow", True), ("a wader sea", False), ("H2O O2 SnO2", False), ("f901a5c33463815b875c9b8e98e6097b", False), ("the (correct) water", False)])
+def test_lines_read_whole(line, wrong):
+    assert scans.read_line(line, WIDE) is wrong
+    assert scans.read_line(line, WIDE) is wrong  # also with remembered verdicts
+
+
+def test_furniture_of_fragments(spark):
+    """By place, setting and repetition: a tall page keeps its body lines, a header within the usual body height is found."""
+    rows, n = [], 0
+    for page in range(1, 5):
+        for k in range(12):
+            n += 1
+            rows.append((n, "low", page, f"body {page} line number {k}", 50.0, 700.0 - 20 * k, 10.0, False))
+            rows.append((1000 + n, "tall", page, f"body {page} line number {k}", 50.0, 840.0 - 20 * k, 10.0, False))
+        rows.append((500 + page, "low", page, f"Running header {page}", 120.0, 740.0, 8.5, False))
+        rows.append((600 + page, "low", page, f"- {page} -", 250.0, 40.0, 8.5, False))
+        rows.append((700 + page, "low", page, f"Heading of part {'abcd'[page - 1]}", 50.0, 720.0, 12.0, True))
+    f = spark.createDataFrame(rows, "fragment_id long, artifact_id string, page int, text string, x double, y double, font_size double, bold boolean")
+    h = spark.createDataFrame([], "hit_id long, text string")
+    got = sorted(r["row_id"] for r in scans.find_noise(f, h).filter("noise = 'furniture'").collect())
+    assert got == [501, 502, 503, 504, 601, 602, 603, 604]
+
+
 def test_breaks_and_furniture():
     assert scans.broken("of the mea-", "sured water") and scans.broken("Tarnów-", "Dolny") and not scans.broken("the pre-", "and post-test") and not scans.broken("x -", "y") and not scans.broken("", "a")
     lines = ["The water was mea-", "– 12 –", "sured twice in the old mesh of", "Acta Ionica, Vol. 12", "the plant."]
