@@ -140,8 +140,8 @@ def test_furniture_of_fragments(spark):
     for page in range(1, 5):
         for k in range(12):
             n += 1
-            rows.append((n, "low", page, f"body {page} line number {k}", 50.0, 700.0 - 20 * k, 10.0, False))
-            rows.append((1000 + n, "tall", page, f"body {page} line number {k}", 50.0, 840.0 - 20 * k, 10.0, False))
+            rows.append((n, "low", page, f"{chr(96 + page)}{chr(97 + k)} body of the text", 50.0, 700.0 - 20 * k, 10.0, False))
+            rows.append((1000 + n, "tall", page, f"{chr(96 + page)}{chr(97 + k)} body of the text", 50.0, 840.0 - 20 * k, 10.0, False))
         rows.append((500 + page, "low", page, f"Running header {page}", 120.0, 740.0, 8.5, False))
         rows.append((600 + page, "low", page, f"- {page} -", 250.0, 40.0, 8.5, False))
         rows.append((700 + page, "low", page, f"Heading of part {'abcd'[page - 1]}", 50.0, 720.0, 12.0, True))
