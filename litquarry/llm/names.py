@@ -52,6 +52,8 @@ _BARE = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae",
 
 def bare(s: str) -> str:
     """Lower case without accents."""
+    if s.isascii():
+        return s.lower().replace("`", "'")
     s = unicodedata.normalize("NFD", s.casefold().translate(_BARE))
     return "".join(c for c in s if not unicodedata.combining(c))
 

@@ -56,6 +56,21 @@ def test_linkage(spark):
     assert linkage.link(spark.createDataFrame([], REQUEST), spark.createDataFrame([], RECORD)).count() == 0
 
 
+def test_later_authors_and_fitted_weights():
+    many = [f"Given{chr(97 + k)} Family{chr(97 + k)}" for k in range(14)]
+    assert "familyn" in linkage.families(many)
+    side = lambda au: {"tokens": ["x"], "cut": False, "fams": linkage.families(au), "jkey": "", "year": 0, "volume": "", "issue": "", "page": "", "kind": "", "part": 0}
+    assert linkage.compare(side(["N. Familyn"]), side(many))[linkage.FIELDS.index("authors")] == 3
+    # Two classes are told apart by their titles although other fields often agree by chance.
+    r = np.random.default_rng(0)
+    match = np.c_[r.choice([3, 4], 300, p=[0.2, 0.8]), r.choice([2, 3], 300, p=[0.1, 0.9]), np.zeros((300, 5), int), np.full(300, 2), np.full(300, 3)]
+    other = np.c_[r.choice([1, 2], 500, p=[0.95, 0.05]), r.choice([1, 2, 3], 500), np.zeros((500, 5), int), np.full(500, 2), np.full(500, 3)]
+    p, m, u = linkage.fit(np.r_[match, other], np.ones(800))
+    assert abs(p - 300 / 800) < 0.02
+    w = linkage.weights(np.array([[4, 3, 0, 0, 0, 0, 0, 2, 3], [1, 3, 0, 0, 0, 0, 0, 2, 3], [4, 3, 0, 0, 0, 0, 0, 1, 3], [4, 3, 0, 0, 0, 0, 0, 2, 1]]), p, m, u)
+    assert w[0] > 3 and w[1] < -3 and w[2] < -3 and w[3] < -3
+
+
 def test_titles():
     assert linkage.title_parts("Erratum: A study (II)")[1] == "correction"
     assert linkage.title_parts("Study of foam: Part I")[2] == 1 and linkage.title_parts("Study of fo…")[3]
