@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from litquarry.llm import pages, pieces, scans, tokens, unify
 
@@ -186,6 +187,18 @@ def test_copies_do_not_vouch_for_their_misreads(spark):
     assert got == [("fragment", 200 + k, "misread") for k in range(60)] + [("search_hit", k, "misread") for k in range(60)]
 
 
+def test_prose_with_words_of_messages(spark):
+    said = ["The error of the measurement was below two percent for all samples.", "Cookies and sorry results of human trials were excluded from this cohort study.", "Enzyme traps are not available for human tissue."]
+    assert [pages.sort_sentence(x, "") for x in said] == ["doubt"] * 3
+    rows = [(k, f"https://h{k}.test/a", f"<title>T</title><p>{x} All samples were dried at room temperature before use. The film thickness was measured by profilometry.</p>", False) for k, x in enumerate(said)]
+    rows += [(10 + k, f"https://h{k}.test/error-tissue-cohort", f"<title>T</title><p>{x}</p>", False) for k, x in enumerate(said)]
+    rows.append((15, "https://h.test/y", "<title>Scaling in membranes</title><p>A loss of flux was not found in any of the membranes.</p>", False))
+    rows.append((20, "https://h.test/x", "<title>Ionic foam</title><p>Fatal error. The session of this reader has expired already.</p>", False))
+    p = spark.createDataFrame(rows, "page_id long, final_url string, text string, is_pdf_response boolean").withColumn("requested_url", F.col("final_url"))
+    h = spark.createDataFrame([], "page_id long, title string, visible_text string")
+    assert [r[0] for r in pages.excluded_pages(p, h).collect()] == [20]
+
+
 def test_pages(spark):
     body = "<p>The residual was dominated by losses of the anode, not by water itself.</p>"
     cases = {1: f"<html><title>T</title><body><nav>Home</nav>{body}</body></html>", 2: "<html><title>T</title><body><p>{{abstract}}</p></body></html>", 3: "<body><noscript>Please enable JavaScript.</noscript></body>", 4: "<body><p>404 – the page you asked for is not here.</p></body>", 5: f"<body><noscript>Please enable JavaScript.</noscript>{body}</body>", 6: "<body><p>Lorem ipsum dolor sit amet elit.</p></body>", 7: None, 8: "<p>The resid"}
