@@ -2,8 +2,9 @@
 
 Method: every authority entry is rewritten in all the ways people write it - nicknames, initials, dropped or shortened middle
 names, legal-form abbreviations, acronyms, token order, transliteration, one-letter deletions - and every written name is reduced to
-its own canonical form (plus its one-letter deletions). The forms are exploded and equi-joined. A form is scored by its rarity, the
-share of one over the number of entries that have it; only forms that single out an entry link, the most exact kind first. A link
+its own canonical form (plus its one-letter deletions). The forms are exploded and equi-joined. A form's rarity is one over the number of
+entries that have it; an entry's score for a name is the greatest of rarity times the weight of the kind of rewriting over their common
+forms, and its confidence the share of its score in those of all entries the name meets. Entries with more than half of it link. A link
 through deletions is confirmed by edit distance (one insertion, deletion, substitution or swap) and refused where the differing
 token is itself an established name: one in nearly as many distinct author lists as the entry's token, or a regular syllable pair of a romanised name.
 
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from litquarry.session import spread, written
+
 from .unify import unify_arrow
 
 # Common short forms of given names.
@@ -44,7 +47,7 @@ _TITLE = re.compile(r"^(?:(?:prof|dr|ing|mr|mrs|ms|herr|frau|sir|dipl|mag|doc|as
 _DEGREE = re.compile(r"(?:,?\s+(?:ph\.?\s?d|m\.?d|m\.?sc|b\.?sc|jr|sr|dsc|iii?|esq)\.?)+$")
 _MARK = re.compile(r"[*†‡§¶#✉⁰¹²³⁴-⁹0-9]+|\s*\((?:corresponding|author|corr|ed|eds|editor|presenter|deceased)[^)]*\)")
 _INITIALS = re.compile(r"^(?:[^\W\d_]\.?[-\s]?){1,4}$")
-_HAN = re.compile(r"^[㐀-鿿·\s]{2,6}$")
+_HAN = re.compile(r"^[㐀-鿿·\s]{2,}$")
 _SYLLABLE = r"(?:zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?(?:iang|iong|uang|ang|eng|ing|ong|iao|ian|uai|uan|ai|ei|ao|ou|an|en|in|un|ia|ie|iu|ua|ui|uo|ue|er|a|o|e|i|u|v)"
 _PINYIN = re.compile(rf"^({_SYLLABLE})({_SYLLABLE})$")
 _BARE = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ı": "i", "’": "'", "`": "'"})
@@ -106,8 +109,9 @@ def readings(s: str) -> list[tuple[str, list[str], bool]]:
             return []
         if re.fullmatch(r"(?:[^\W\d_]\.?-?){1,3}", t[-1]) and (t[-1].isupper() or "." in t[-1]) and len(_letters(t[-1])) <= 3 and len(t[0]) > 2 and (len(t) == 2 or not t[-2].endswith(".")) and len(t[0].rstrip(".")) > len(_letters(t[-1])):
             return [(re.sub(r"[^a-z' -]", "", bare(t[0])), t[1:], True)]
-        else:
-            orders = [(t[-1], " ".join(t[:-1])), (t[0], " ".join(t[1:]))]
+        orders = [(t[-1], " ".join(t[:-1])), (t[0], " ".join(t[1:]))]
+        if len(t) >= 3:  # a family name of two words
+            orders.append((" ".join(t[-2:]), " ".join(t[:-2])))
     out = []
     for fam, rest in orders:
         family = re.sub(r"[^a-z' -]", "", bare(fam))
@@ -128,11 +132,13 @@ def written_forms(s: str) -> list[tuple[str, str, str]]:
         return [("H|" + re.sub(r"[\s·]", "", s), "native", "")]
     out: list[tuple[str, str, str]] = []
     low = [w for w in re.split(r"[^\w']+", bare(s)) if w and w not in STOP]
-    if any(LEGAL.get(w, w) in KINDS or w in KINDS for w in low) or len(low) >= 4:
+    kinds = any(LEGAL.get(w, w) in KINDS for w in low)
+    if kinds or len(low) >= 4:
         full = [LEGAL.get(w, w) for w in low]
         out.append(("O|" + " ".join(sorted(w[:3] for w in full)), "organisation", " ".join(full)))
         out += [("o|" + d, "organisation_typo", " ".join(full)) for d in deletions(" ".join(full))]
-        return out
+        if kinds:
+            return out
     m = re.fullmatch(r"([A-Z]{3,6})(?:\s*[(,]\s*([^\W\d_]+)\)?)?", s)
     if m:
         return [("A|" + m.group(1).lower(), "acronym", bare(m.group(2) or ""))]
@@ -148,7 +154,8 @@ def written_forms(s: str) -> list[tuple[str, str, str]]:
         out.append((f"P|{family}|{given}|{middle}", "full" if not middle else "full_middle", f"{family} {given}"))
         if rest:
             out.append((f"P|{family}|{''.join([given, *rest])}|", "joined", ""))
-        out += [(f"q|{middle}|{d}", "full_typo", f"{family} {given}") for d in deletions(f"{family} {given}")]
+        if "," in s or " " not in family:
+            out += [(f"q|{middle}|{d}", "full_typo", f"{family} {given}") for d in deletions(f"{family} {given}")]
     return out
 
 
@@ -173,7 +180,10 @@ def authority_forms(name: str, native: str | None, kind: str) -> list[tuple[str,
     t = name.split()
     given, middles = bare(t[0]), [bare(x) for x in t[1:-1]]
     syllables = _PINYIN.match(given) if native else None
-    for family in {re.sub(r"[^a-z' -]", "", f(t[-1])) for f in (bare, spelled)}:
+    families = {(t[-1], tuple(middles))}
+    if len(t) >= 4:  # two family names: both, or the first of them
+        families |= {(" ".join(t[-2:]), tuple(middles[:-1])), (t[-2], tuple(middles[:-1]))}
+    for family, middles in {(re.sub(r"[^a-z' -]", "", f(w)), m) for w, m in families for f in (bare, spelled)}:
         for g in [given, *NICKNAMES.get(given, "").split()]:
             for middle in {"", "".join(m[0] for m in middles), " ".join(middles)}:
                 out.add((f"P|{family}|{g}|{middle}", f"{family} {g}"))
@@ -202,8 +212,8 @@ def _confirm(kind: str, mine: str, theirs: str) -> bool:
     return True
 
 
-def link_names(written: DataFrame, authority: DataFrame, established: float = 0.05) -> DataFrame:
-    """``written_name, author_id, kind, confidence`` for the distinct names of ``written`` (a column ``name``, and ``list_key`` of the author list it stands in).
+def link_names(named: DataFrame, authority: DataFrame, established: float = 0.05) -> DataFrame:
+    """``written_name, author_id, kind, confidence`` for the distinct names of ``named`` (a column ``name``, and ``list_key`` of the author list it stands in).
 
     ``established``: a token in more than this share of the author lists that have the entry's token, and in more than three, is a name of its own, no slip.
     Lists are counted once, however often they are repeated or redelivered; without ``list_key`` each written name counts once.
@@ -226,9 +236,11 @@ def link_names(written: DataFrame, authority: DataFrame, established: float = 0.
     def regular(token: pd.Series) -> pd.Series:
         return token.map(lambda t: bool(t and _PINYIN.match(t))).astype(bool)
 
-    names = written.filter("name is not null and trim(name) <> ''").groupBy("name").agg((F.count_distinct("list_key") if "list_key" in written.columns else F.lit(1)).alias("uses"))
-    mine = names.withColumn("f", F.explode(forms("name"))).select("name", "uses", "f.*")
+    names = named.filter("name is not null and trim(name) <> ''").groupBy("name").agg((F.count_distinct("list_key") if "list_key" in named.columns else F.lit(1)).alias("uses"))
+    # Written once: the forms are read three times, and making them is the dear part.
+    mine = written(spread(names).withColumn("f", forms("name"))).select("name", "uses", F.inline("f"))
     auth = authority.withColumn("f", F.explode(rewritings("preferred_name", "native_name", "kind"))).select("author_id", "preferred_name", F.col("native_name").isNotNull().alias("romanised"), "f.*")
+    auth = auth.join(auth.groupBy("form").agg((1 / F.count_distinct("author_id")).alias("rarity")), "form")
     hits = mine.join(auth, "form").filter(confirmed("kind", "detail", "theirs"))
     # How established the differing token of a slip is, against the entry's own token.
     token = F.explode(F.split("detail", " ")).alias("token")
@@ -242,10 +254,11 @@ def link_names(written: DataFrame, authority: DataFrame, established: float = 0.
     rank = F.when(F.col("name") == F.col("preferred_name"), 0)
     for k, r in RANK.items():
         rank = rank.when(F.col("kind") == k, r)
-    best = hits.withColumn("rank", rank).groupBy("name", "author_id").agg(F.min_by(F.struct("rank", "kind"), "rank").alias("r")).select("name", "author_id", "r.rank", "r.kind")
+    score = F.pow(F.lit(4.0), -rank) * F.when(rank == 0, 1.0).otherwise(F.col("rarity"))
+    best = hits.select("name", "author_id", F.when(rank == 0, "exact").otherwise(F.col("kind")).alias("kind"), score.alias("score")).groupBy("name", "author_id").agg(F.max(F.struct("score", "kind")).alias("b"))
     w = Window.partitionBy("name")  # a name fits a handful of entries at most: the window holds its candidates
-    best = best.withColumn("top", F.min("rank").over(w)).filter("rank = top").withColumn("rivals", F.count("*").over(w))
-    return best.filter("rivals = 1").select("name", "author_id", F.when(F.col("rank") == 0, "exact").otherwise(F.col("kind")).alias("kind"), F.round(1 - F.col("rank") * 0.08, 2).alias("confidence"))
+    best = best.select("name", "author_id", "b.kind", (F.col("b.score") / F.sum("b.score").over(w)).alias("share"))
+    return best.filter("share > 0.5").select("name", "author_id", "kind", F.round("share", 4).alias("confidence"))
 
 
 def name_elements(df: DataFrame, src_table: str, id_col: str, authors_col: str = "authors") -> DataFrame:

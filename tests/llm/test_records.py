@@ -21,6 +21,16 @@ def test_names_link(spark, authority, written, author):
     assert [r["author_id"] for r in got] == [author]
 
 
+LONG = [(1, "person", "Juan Carlos Perez Lopez", None), (2, "person", "Maria del Carmen Ortega Ruiz", None), (3, "person", "Ana Maria Silva Costa", None), (4, "person", "Adam Maria Silva Costa", None), (5, "person", "Eleanora Xu", "欧阳娜娜·爱丽丝·徐")]
+
+
+@pytest.mark.parametrize("written, author", [("Perez Lopez, Juan Carlos", 1), ("Juan Carlos Pérez", 1), ("Juan C. Perez Lopez", 1), ("Ortega Ruiz, M.", 2), ("Silva Costa, A. M.", None), ("Ana Silva Costa", 3), ("欧阳娜娜爱丽丝徐", 5)])
+def test_long_names(spark, written, author):
+    entries = spark.createDataFrame(LONG, "author_id long, kind string, preferred_name string, native_name string")
+    got = names.link_names(spark.createDataFrame([(written,)], "name string"), entries).collect()
+    assert [r["author_id"] for r in got] == ([] if author is None else [author]) and all(0.5 < r["confidence"] <= 1 for r in got)
+
+
 def test_names_of_nobody(spark, authority):
     w = spark.createDataFrame([("Samuel B. Kvarárd",), ("Anna Dorrasek",), ("Rosbury Academy of Electrochemical Engineering",), ("",), (None,), ("  ",), ("?",), ("x" * 5000,)], "name string")
     assert names.link_names(w, authority).count() == 0
