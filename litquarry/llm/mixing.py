@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
 For each plan and source the wanted size is ``target_share * total_ratio * size of the corpus`` in tokens. Every document of the
-source gets an expected number of copies, proportional to its weight and scaled so that the expected size is the wanted size,
-at most ``max_repeats``. The whole part is allocated with certainty; the fraction is the document's inclusion probability in a
+source gets an expected number of copies, proportional to its weight (a power of its size) and at most ``max_repeats``; the scale is
+the one at which the expected size is the wanted size, so what the cap takes from some documents goes to the others. The whole part is allocated with certainty; the fraction is the document's inclusion probability in a
 Pareto order sample: with u uniform, documents are ranked by ``(u / (1 - u)) / (p / (1 - p))`` and the first ones are taken until
 the remaining size is reached (the document that crosses the mark is taken if that comes nearer to it).
 
@@ -16,10 +16,11 @@ small gives all its copies and the plan is reported as not reached. Repeated row
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litquarry.session import ensure_checkpoint_dir
+from litquarry.session import written
 
 from .tokens import DEFAULT_TOKENIZER_DIR, count_tokens
 
@@ -33,9 +34,8 @@ def sized_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: st
 
 
 def once(sized: DataFrame) -> DataFrame:
-    """Write the three narrow columns to the shared checkpoint folder, as the plan reads them several times and tokenizing is the dear part."""
-    ensure_checkpoint_dir(sized.sparkSession)
-    return sized.checkpoint(eager=True)
+    """Write the three narrow columns to the shared folder, as the plan reads them several times and tokenizing is the dear part."""
+    return written(sized)
 
 
 def _uniform(seed: int):
@@ -68,6 +68,30 @@ def targets(sized: DataFrame, plans: DataFrame) -> DataFrame:
     )
 
 
+def scale_for(weight: np.ndarray, size: np.ndarray, most: float, wanted: float) -> float:
+    """The factor at which copies of ``min(factor * weight, most)`` have the wanted size; infinite where all ``most`` copies are needed."""
+    if wanted >= most * size.sum() * (1 - 1e-12):
+        return float("inf")
+    order = np.argsort(-weight)
+    w, s = weight[order], size[order]
+    # With the k heaviest at the cap, the others share what is left.
+    capped, free = most * np.r_[0.0, np.cumsum(s)[:-1]], np.cumsum((w * s)[::-1])[::-1]
+    factor = (wanted - capped) / free
+    k = int(np.flatnonzero(factor * w <= most * (1 + 1e-12))[0])  # the first k whose heaviest free one stays below the cap
+    return float(max(factor[k], 0.0))
+
+
+def with_factors(sized: DataFrame, goal: DataFrame, size_power: float) -> DataFrame:
+    """``goal`` with the factor of each plan and source. Weights are summed in sixteenths of a power of two, so a source has some hundred cells whatever its size."""
+    weight = F.pow(F.col("tokens").cast("double"), F.lit(float(size_power)))
+    cells = sized.join(goal.select("source").distinct(), "source", "left_semi").groupBy("source", F.floor(F.log2("tokens") * 16).alias("cell")).agg(F.sum("tokens").cast("double").alias("size"), F.sum(weight * F.col("tokens")).alias("ws")).toPandas()
+    plans = goal.select("plan_id", "source", "max_repeats", "reachable").toPandas()
+    by = {s: (c["ws"].to_numpy(float) / c["size"].to_numpy(float), c["size"].to_numpy(float)) for s, c in cells.groupby("source")}
+    rows = [(p, s, scale_for(*by[s], float(m), float(r))) for p, s, m, r in plans.itertuples(index=False, name=None)]
+    schema = f"plan_id {goal.schema['plan_id'].dataType.simpleString()}, source string, factor double"
+    return goal.join(sized.sparkSession.createDataFrame(rows, schema), ["plan_id", "source"])
+
+
 def select_mix(sized: DataFrame, plans: DataFrame, seed: int = 17, size_power: float = 0.0) -> DataFrame:
     """``plan_id, source, doc_id, tokens, copies`` of the selected documents.
 
@@ -75,12 +99,10 @@ def select_mix(sized: DataFrame, plans: DataFrame, seed: int = 17, size_power: f
     """
     weight = F.pow(F.col("tokens").cast("double"), F.lit(float(size_power)))
     # The plan table is small by its nature (plans x sources); its size is still left to the optimiser's own threshold.
-    goal = targets(sized, plans).filter("reachable > 0")
-    scale = sized.groupBy("source").agg(F.sum(weight * F.col("tokens")).alias("weighted"))
-    goal = goal.join(scale, "source")
+    goal = with_factors(sized, targets(sized, plans).filter("reachable > 0"), size_power)
     d = (
-        sized.join(goal.select("plan_id", "source", "reachable", "supply", "max_repeats", "weighted"), "source")
-        .withColumn("expected", F.least(F.col("reachable") * weight / F.col("weighted"), F.col("max_repeats").cast("double")))
+        sized.join(goal.select("plan_id", "source", "reachable", "max_repeats", "factor"), "source")
+        .withColumn("expected", F.least(F.col("factor") * weight, F.col("max_repeats").cast("double")))
         .withColumn("sure", F.floor(F.col("expected") + 1e-9))
         .withColumn("p", F.greatest(F.col("expected") - F.col("sure"), F.lit(0.0)))
     )

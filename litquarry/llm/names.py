@@ -240,7 +240,8 @@ def link_names(named: DataFrame, authority: DataFrame, established: float = 0.05
     # Written once: the forms are read three times, and making them is the dear part.
     mine = written(spread(names).withColumn("f", forms("name"))).select("name", "uses", F.inline("f"))
     auth = authority.withColumn("f", F.explode(rewritings("preferred_name", "native_name", "kind"))).select("author_id", "preferred_name", F.col("native_name").isNotNull().alias("romanised"), "f.*")
-    auth = auth.join(auth.groupBy("form").agg((1 / F.count_distinct("author_id")).alias("rarity")), "form")
+    # Written, so that its true size decides whether it is broadcast.
+    auth = written(auth.join(auth.groupBy("form").agg((1 / F.count_distinct("author_id")).alias("rarity")), "form"))
     hits = mine.join(auth, "form").filter(confirmed("kind", "detail", "theirs"))
     # How established the differing token of a slip is, against the entry's own token.
     token = F.explode(F.split("detail", " ")).alias("token")

@@ -130,6 +130,10 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
 
 
+# Longer documents have a greater chance: the registered mixes weight them by the root of their size.
+SIZE_POWER = 0.5
+
+
 def _mix_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     sized = mixing.sized_documents(table(spark, sf, "documents"))
     return sized, table(spark, sf, "mix_target")
@@ -139,7 +143,7 @@ def _mix_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     """Selected documents of each plan with their number of copies."""
     sized, plans = _mix_inputs(spark, sf)
-    return mixing.select_mix(mixing.once(sized), plans)
+    return mixing.select_mix(mixing.once(sized), plans, size_power=SIZE_POWER)
 
 
 @query("p8_shares")
@@ -147,7 +151,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Wanted and actual shares of each source of each plan."""
     sized, plans = _mix_inputs(spark, sf)
     sized = mixing.once(sized)
-    return mixing.mix_report(mixing.select_mix(sized, plans), sized, plans)
+    return mixing.mix_report(mixing.select_mix(sized, plans, size_power=SIZE_POWER), sized, plans)
 
 
 @query("p9_found")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litquarry.session import ensure_checkpoint_dir, spread, written
+from litquarry.session import spread, written
 
 from .unify import unify_arrow
 
@@ -448,9 +448,8 @@ def build_lexicon(texts: DataFrame) -> Lexicon:
                 held, size = [], 0
         yield counted()
 
-    ensure_checkpoint_dir(texts.sparkSession)
     lines = texts.select(F.explode(F.split("text", r"\r\n?|\n")).alias("text")).select(F.trim("text").alias("text")).filter("text <> ''").distinct()
-    counts = lines.mapInPandas(count, "kind int, w string, n bigint").groupBy("kind", "w").agg(F.sum("n").alias("n")).filter(f"kind = 0 or n >= {LEAST}").checkpoint()
+    counts = written(lines.mapInPandas(count, "kind int, w string, n bigint").groupBy("kind", "w").agg(F.sum("n").alias("n")).filter(f"kind = 0 or n >= {LEAST}"))
     total = counts.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
     floor = max(LEAST, math.ceil(total * FLOOR))
     got = counts.filter((F.col("kind") > 0) & (F.col("n") >= floor)).toPandas()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litquarry.session import ensure_checkpoint_dir
+from litquarry.session import written
 
 SIZE = 0x110000
 RUN_BYTES = 1 << 19
@@ -252,8 +252,7 @@ def lookalike_pairs(texts: DataFrame, salts: int = 16) -> DataFrame:
     """
     base = unify_text(texts.filter("text is not null and text <> ''"), "text").select("src_table", "id", F.md5("unified").alias("key"), F.md5("text").alias("form"))
     # Read three times below; the narrow hashes are written once instead of unifying the texts again.
-    ensure_checkpoint_dir(texts.sparkSession)
-    base = base.checkpoint()
+    base = written(base)
     several = base.groupBy("src_table", "key").agg(F.min("form").alias("low"), F.max("form").alias("high")).filter("low <> high").select("src_table", "key")
     rows = base.join(several, ["src_table", "key"], "left_semi")
     forms = rows.select("src_table", "key", "form").distinct()

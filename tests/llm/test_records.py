@@ -121,6 +121,27 @@ def test_mixing_takes_the_best_ranks(spark):
     assert got == want
 
 
+def test_unequal_chances(spark):
+    """Each document is drawn about as often as its expected copies say, and the cap's loss goes to the others."""
+    sizes = [1, 4, 9, 16, 25, 36, 49, 64] * 25
+    docs = spark.createDataFrame([(i, "a", t) for i, t in enumerate(sizes)], "doc_id long, source string, tokens long").cache()
+    plans = spark.createDataFrame([(1, "a", 1.0, 1, 0.85)], "plan_id int, source string, target_share double, max_repeats int, total_ratio double")
+    w, s = np.sqrt(sizes), np.array(sizes, float)
+    factor = mixing.scale_for(w, s, 1.0, 0.85 * s.sum())
+    expected = np.minimum(factor * w, 1)
+    assert abs((expected * s).sum() - 0.85 * s.sum()) < 1e-6 and (expected == 1).any()
+    assert mixing.scale_for(w, s, 1.0, 2 * s.sum()) == float("inf") and mixing.scale_for(w, s, 1.0, 0.0) == 0.0
+    drawn = np.zeros(len(sizes))
+    seeds = 12
+    for seed in range(seeds):
+        got = mixing.select_mix(docs, plans, seed=seed, size_power=0.5).collect()
+        assert abs(sum(r["tokens"] for r in got) - 0.85 * s.sum()) <= 32
+        for r in got:
+            drawn[r["doc_id"]] += 1 / seeds
+    for t in set(sizes):
+        assert abs(drawn[s == t].mean() - expected[s == t].mean()) < 0.12
+
+
 def test_crf_gradient():
     net = Tagger(embed=4, hidden=3, seed=2)
     r = np.random.default_rng(1)
