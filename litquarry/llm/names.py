@@ -242,7 +242,8 @@ def link_names(named: DataFrame, authority: DataFrame, established: float = 0.05
     auth = authority.withColumn("f", F.explode(rewritings("preferred_name", "native_name", "kind"))).select("author_id", "preferred_name", F.col("native_name").isNotNull().alias("romanised"), "f.*")
     # Written, so that its true size decides whether it is broadcast.
     auth = written(auth.join(auth.groupBy("form").agg((1 / F.count_distinct("author_id")).alias("rarity")), "form"))
-    hits = mine.join(auth, "form").filter(confirmed("kind", "detail", "theirs"))
+    hits = mine.drop("uses").withColumn("form", F.xxhash64("form")).join(auth.withColumn("form", F.xxhash64("form")), "form").filter(confirmed("kind", "detail", "theirs"))
+    hits = written(hits.drop("form"))  # a small part of the forms, read twice
     # How established the differing token of a slip is, against the entry's own token.
     token = F.explode(F.split("detail", " ")).alias("token")
     people = mine.filter("form like 'P|%' and kind in ('full', 'full_middle', 'joined')").filter("detail <> ''")
