@@ -18,6 +18,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -45,12 +46,19 @@ class ForcedBoundaryEncoder:
             inside[b[:-1] * 256 + b[1:]] = True
         self.mergeable = inside
         self.pattern = regex.compile(PATTERN)
+        self.cuts_at = bytes(~inside)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.merged: dict[bytes, list[int]] = {}
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """Cut at every byte pair that lies inside no vocabulary token."""
-        if len(piece) < 2:
-            return [piece]
+        n = len(piece)
+        if n < 64:
+            at, cuts = self.cuts_at, []
+            for i in range(1, n):
+                if at[piece[i - 1] << 8 | piece[i]]:
+                    cuts.append(i)
+            return [piece[i:j] for i, j in zip([0, *cuts], [*cuts, n])]
         b = np.frombuffer(piece, dtype=np.uint8).astype(np.int64)
         cuts = np.flatnonzero(~self.mergeable[b[:-1] * 256 + b[1:]]) + 1
         edges = [0, *cuts.tolist(), len(piece)]
@@ -108,7 +116,14 @@ class ForcedBoundaryEncoder:
         out: list[int] = []
         for piece in self.pattern.findall(text):
             for fragment in self.fragments(piece.encode("utf-8", "replace")):
-                out += self.merge(fragment)
+                got = self.merged.get(fragment)
+                if got is None:
+                    got = self.merge(fragment)
+                    if len(fragment) <= 64:
+                        if len(self.merged) >= _MEMO_LIMIT:
+                            self.merged.clear()
+                        self.merged[fragment] = got
+                out += got
         ids = tuple(out)
         if len(self.memo) >= _MEMO_LIMIT:
             self.memo.clear()
@@ -123,6 +138,14 @@ class ForcedBoundaryEncoder:
         return list(chain.from_iterable([memo(s) or segment(s) for s in _SEGMENT.findall(text)]))
 
 
+    def count(self, text: str | None) -> int:
+        """Number of ids of a text, without putting them in one list."""
+        if not isinstance(text, str):
+            return 0
+        memo, segment = self.memo.get, self.segment
+        return sum([len(memo(s) or segment(s)) for s in _SEGMENT.findall(text)])
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ForcedBoundaryEncoder:
     return ForcedBoundaryEncoder(path)
@@ -156,8 +179,8 @@ def count_tokens(df: DataFrame, text_col: str, out_col: str = "tokens", tokenize
     path = tokenizer_path(tokenizer, folder)
 
     @F.pandas_udf("long")
-    def sizes(texts):
+    def sizes(texts: pd.Series) -> pd.Series:
         enc = encoder(path)
-        return texts.map(lambda t: len(enc.encode(t)), na_action=None)
+        return pd.Series([enc.count(t) for t in texts], dtype="int64")
 
     return df.withColumn(out_col, sizes(F.col(text_col)))
