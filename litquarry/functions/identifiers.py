@@ -41,8 +41,10 @@ def _peel(c: Column) -> Column:
     return c
 
 
-def clean_identifier(c: Column, passes: int = 3) -> Column:
-    return reduce(lambda x, _: _peel(x), range(passes), c)
+def clean_identifier(c: Column) -> Column:
+    """Wrappers and closing punctuation taken off until nothing changes: a pass takes a layer, and there are no more layers than characters around the identifier."""
+    around = lambda x: F.length(F.regexp_extract(x, r"^[^0-9A-Za-z]*", 0)) + F.length(F.regexp_extract(x, r"[^0-9A-Za-z]*$", 0))
+    return F.when(around(c) == 0, c).otherwise(F.aggregate(F.sequence(F.lit(0), around(c)), c, lambda x, _: _peel(x)))
 
 
 def looks_like_doi(c: Column) -> Column:
@@ -59,8 +61,9 @@ def normalize_doi(c: Column, resolvers: tuple[str, ...] = RESOLVERS) -> Column:
         path = F.regexp_replace(F.regexp_replace(x, address, ""), r"[?#].*$", "")
         return F.when(x.rlike(address), F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)).otherwise(x)
 
-    bare = clean_identifier(F.regexp_replace(clean_identifier(c, 2), r"^(?i:doi)\s*[:：]\s*", ""), 1)
-    return bind(clean_identifier(bind(bare, resolve), 1), lambda x: F.when(looks_like_doi(x), F.lower(x)))
+    unlabel = lambda x: F.regexp_replace(x, r"^(?:(?i:doi)\s*[:：]\s*)+", "")
+    bare = bind(bind(c, clean_identifier), lambda x: bind(unlabel(x), clean_identifier))
+    return bind(bind(bind(bare, resolve), clean_identifier), lambda x: F.when(looks_like_doi(x), F.lower(x)))
 
 
 def extract_dois(c: Column) -> Column:

@@ -8,33 +8,56 @@ from typing import Any
 MOST_BYTES, MOST_POSITIONS = 64 * 1024, 4096
 
 
+def _distinct(pairs: list[tuple[str, Any]]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key is there twice")
+    return out
+
+
 def _parse(text: str) -> tuple[bool, Any]:
     try:
-        return True, json.loads(text)
+        return True, json.loads(text, object_pairs_hook=_distinct)
     except ValueError:
         return False, None
 
 
+def _outside(raw: str) -> tuple[list[int], str]:
+    """Positions outside strings, and the closers that are open at the end (none where the text ends in a string or closes wrongly)."""
+    places, open_, inside, k = [], [], False, 0
+    sound = True
+    while k < len(raw):
+        c = raw[k]
+        if inside:
+            k += 2 if c == "\\" else 1
+            inside = c != '"'
+            continue
+        places.append(k)
+        if c == '"':
+            inside = True
+        elif c in "{[":
+            open_.append("}" if c == "{" else "]")
+        elif c in "}]":
+            sound = bool(open_) and open_.pop() == c and sound
+        k += 1
+    if inside:
+        return places, ""
+    return [*places, len(raw)], "".join(reversed(open_)) if sound else ""
+
+
 def recover(raw: str) -> Any:
-    """The value of a text that lacks one closer inside and at most two at its end; raises where readings differ or none exists."""
+    """The value of a text that lacks one closer outside its strings, or at most two at its end.
+
+    Raises where none or several readings exist, where a key is there twice, and where the text is over the limits, which are never cut to.
+    """
     ok, value = _parse(raw)
     if ok:
         return value
-    if len(raw.encode()) > MOST_BYTES:
+    places, end = _outside(raw)
+    if len(raw.encode()) > MOST_BYTES or len(places) > MOST_POSITIONS:
         raise ValueError("the text is too long to repair")
-    readings: dict[str, Any] = {}
-    places = [i for i in range(len(raw) + 1) if i == len(raw) or raw[i] in ",]}"][:MOST_POSITIONS]
-    ends = ["", "}", "]", "}}", "]}", "}]", "]]"]
-    for end in ends[1:]:
-        ok, value = _parse(raw + end)
-        if ok:
-            readings[json.dumps(value, sort_keys=True)] = value
-    for i in places if not readings else []:
-        for c in "}]":
-            for end in ends:
-                ok, value = _parse(raw[:i] + c + raw[i:] + end)
-                if ok:
-                    readings[json.dumps(value, sort_keys=True)] = value
+    tries = {raw[:i] + c + raw[i:] for i in places for c in "}]"} | ({raw + end} if 1 <= len(end) <= 2 else set())
+    readings = {json.dumps(v, sort_keys=True): v for ok, v in map(_parse, tries) if ok}
     if len(readings) != 1:
         raise ValueError(f"{len(readings)} readings")
     return next(iter(readings.values()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -29,16 +30,34 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " "))
 
 
+# The rewrites of the search view after compatibility and case folding, in their order, as (pattern, replacement).
+SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+VIEW = [
+    (r"(?<=[a-z])-\s*\n\s*(?=[a-z])", ""),
+    (SPACE, " "),
+    (r"^ | $", ""),
+    (r"(?<=[0-9])\s+%", "%"),
+    (r"[−–—⎯]", "-"),
+    (r"(?<=[+-])\s+(?=[0-9])", ""),
+    (r"(?<=[0-9])[∙⋅](?=[0-9])", "."),
+    (r"(?<=[\u3400-\u9fff])\s+(?=[\u3400-\u9fff])", ""),
+]
+
+
 def search_text(c: Column, full: bool = True) -> Column:
     """Search view of a text. ``full`` folds compatibility forms and case by the Arrow function, else only case."""
     c = nfkc_casefold(c) if full else F.lower(c)
-    c = F.regexp_replace(c, r"(?<=[a-z])-\s*\n\s*(?=[a-z])", "")
-    c = squeeze(c)
-    c = F.regexp_replace(c, r"(?<=[0-9])\s+%", "%")
-    c = F.regexp_replace(c, "[−–—⎯]", "-")
-    c = F.regexp_replace(c, r"(?<=[+-])\s+(?=[0-9])", "")
-    c = F.regexp_replace(c, r"(?<=[0-9])[∙⋅](?=[0-9])", ".")
-    return F.regexp_replace(c, f"(?<=[{HAN}])\\s+(?=[{HAN}])", "")
+    for pattern, replacement in VIEW:
+        c = F.regexp_replace(c, pattern, replacement)
+    return c
+
+
+def search_view(value: str) -> str:
+    """The same view of a value on the driver."""
+    value = unicodedata.normalize("NFKC", value).casefold()
+    for pattern, replacement in VIEW:
+        value = re.sub(pattern, replacement, value)
+    return value
 
 
 def furniture_key(c: Column) -> Column:

@@ -50,7 +50,7 @@ def blocks(lines: DataFrame) -> DataFrame:
 
 def sections(block_rows: DataFrame) -> DataFrame:
     """Headings as sections with level and parent; the order key is page and block."""
-    h = block_rows.filter("kind = 'heading'").select("artifact_id", (F.col("page") * 10000 + F.col("block_no")).alias("position"), F.col("text").alias("heading"), heading_level(F.col("text")).alias("level"))
+    h = block_rows.filter("kind = 'heading'").select("artifact_id", F.struct("page", "block_no").alias("position"), F.col("text").alias("heading"), heading_level(F.col("text")).alias("level"))
     return section_parents(h, "artifact_id", "position", "level")
 
 

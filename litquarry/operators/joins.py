@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litquarry.session import ensure_checkpoint_dir
+from litquarry.session import written
 
 
 def exactly_one(children: DataFrame, parents: DataFrame, on: list[str], child_id: str, parent_id: str) -> DataFrame:
@@ -14,9 +14,23 @@ def exactly_one(children: DataFrame, parents: DataFrame, on: list[str], child_id
     return children.join(p, on, "left").select(child_id, *on, F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches"), F.when(F.col("matches") == 1, F.col("_p")).alias("parent"))
 
 
+def holding(quotes: DataFrame, blocks: DataFrame, source: str, quote: str, text: str) -> DataFrame:
+    """Quotes joined with the blocks of their source that hold them.
+
+    Besides the source, the key is the longest inner word of the quote: inner words are whole words of every text that holds the quote, so a
+    large source is not joined all with all. The substring test confirms. Quotes without an inner word meet all blocks of their source.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    inner = F.slice(words(F.col(quote)), 2, F.greatest(F.size(words(F.col(quote))) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    q = quotes.withColumn("_word", F.xxhash64(F.coalesce(longest, F.lit(""))))
+    b = blocks.withColumn("_word", F.explode(F.array_distinct(F.transform(F.array_append(words(F.col(text)), F.lit("")), lambda w: F.xxhash64(w)))))
+    return q.join(b, [source, "_word"]).filter(F.instr(F.col(text), F.col(quote)) > 0).drop("_word")
+
+
 def containment(quotes: DataFrame, blocks: DataFrame, source: str, quote: str, text: str, quote_id: str, block_id: str, most: int = 3) -> DataFrame:
-    """Blocks of the same source that hold the quote, the first ``most`` of each. The source is the equi-key; the substring test is its residual."""
-    hit = quotes.join(blocks, source).filter(F.instr(F.col(text), F.col(quote)) > 0)
+    """Blocks of the same source that hold the quote, the first ``most`` of each."""
+    hit = holding(quotes, blocks, source, quote, text)
     w = Window.partitionBy(quote_id).orderBy(block_id)
     return hit.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
 
@@ -76,11 +90,10 @@ def section_parents(sections: DataFrame, key: str, order: str, level: str) -> Da
 
 def walk(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Nodes reached from ``node`` over ``src -> dst`` with their least depth; levels are joined one after another and lineage is cut."""
-    ensure_checkpoint_dir(start.sparkSession)
     seen = start.select("node", F.lit(0).alias("depth")).distinct()
     front = seen
     for d in range(1, depth + 1):
         new = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        front = new.withColumn("depth", F.lit(d)).checkpoint()
+        front = written(new.withColumn("depth", F.lit(d)))
         seen = seen.unionByName(front)
     return seen

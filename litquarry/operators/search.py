@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litquarry.functions.search import score, terms_of
+from litquarry.functions.identifiers import bind
+from litquarry.functions.search import may_meet, score, terms_of
 from litquarry.functions.text import search_text
 
 
 def search(units: DataFrame, text_col: str, query: str, mode: str = "and", exact: bool = False, full: bool = True) -> DataFrame:
-    """Units that meet the query, with their ``score``. The raw text is tested for the rarest literal first only by Catalyst's filters."""
+    """Units that meet the query, with their ``score``. A test of the raw text comes first; the view of what is left is made once per text.
+
+    The score goes through a generator, which Catalyst neither copies into a filter nor merges with other projections.
+    """
     terms = terms_of(query, exact)
-    found = units.withColumn("_view", search_text(F.col(text_col), full))
-    return found.withColumn("score", score(F.col("_view"), terms, mode)).filter("score is not null").drop("_view")
+    raw = F.col(text_col)
+    found = units.filter(raw.isNotNull() & may_meet(raw, terms, mode, full)).withColumn("_view", search_text(raw, full))
+    scored = bind(F.col("_view"), lambda v: score(v, terms, mode))
+    return found.select(*units.columns, F.explode(F.filter(F.array(scored), lambda x: x.isNotNull())).alias("score"))
 
 
 def top(hits: DataFrame, limit: int, order: list[Column], offset: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litquarry.session import ensure_checkpoint_dir
+from litquarry.session import written
 
 
 def interval_union(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -33,28 +33,33 @@ def carry(rows: DataFrame, key: list[str], order: list[Column], value: Column, o
 def admit(rows: DataFrame, key: str, order: list[str], amount: str, budget: float, most: int | None = None) -> DataFrame:
     """Which rows a budget lets in, in order: a row that does not fit is refused and uses nothing, so this is a fold and no running sum.
 
-    Rows of one key are folded in one array on the JVM side; a key holds the calls of one run.
+    Rows are sorted by key and order and pass by in batches with one number kept between them, so no key is ever held as a whole.
     """
-    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.coalesce(F.col(amount), F.lit(0.0)).cast("double").alias("a"))
-    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    start = F.struct(F.lit(0.0).cast("double").alias("used"), F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("ok"))
 
-    def step(s, x):
-        fits = (s["used"] + x["a"] <= budget) & (F.lit(True) if most is None else s["n"] < most)
-        return F.struct((s["used"] + F.when(fits, x["a"]).otherwise(0.0)).alias("used"), (s["n"] + F.when(fits, 1).otherwise(0)).alias("n"), F.concat(s["ok"], F.array(fits)).alias("ok"))
+    def fold(frames):
+        at, used, n = None, 0.0, 0
+        for f in frames:
+            flags = []
+            for k, a in zip(f[key], f[amount]):
+                if not flags and at is None or k != at:
+                    at, used, n = k, 0.0, 0
+                fits = used + a <= budget and (most is None or n < most)
+                if fits:
+                    used, n = used + a, n + 1
+                flags.append(fits)
+            yield f.assign(admitted=flags)
 
-    g = g.withColumn("r", F.aggregate("xs", start, step))
-    z = g.select(key, F.explode(F.arrays_zip(F.col("xs"), F.col("r.ok").alias("ok"))).alias("z"))
-    return z.select(key, *[F.col(f"z.xs.o{i}").alias(c) for i, c in enumerate(order)], F.col("z.xs.a").alias(amount), F.col("z.ok").alias("admitted"))
+    x = rows.filter(F.col(key).isNotNull()).select(key, *order, F.coalesce(F.col(amount), F.lit(0.0)).cast("double").alias(amount))
+    schema = ", ".join(f"`{c}` {t}" for c, t in x.dtypes) + ", admitted boolean"
+    return x.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(fold, schema)
 
 
 def number_globally(rows: DataFrame, value: str, order: list[str], out: str = "number") -> DataFrame:
     """Numbers of distinct values by first appearance, over all rows without one global window: values are counted per range of
     first positions, the ranges' offsets are a small sum, and numbers are made inside each range."""
     firsts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*order)).alias("_at"))
-    ensure_checkpoint_dir(rows.sparkSession)
     # Written once: the ranges must be the same in both uses below.
-    ranged = firsts.repartitionByRange(F.col("_at")).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ranged = written(firsts.repartitionByRange(F.col("_at")).withColumn("_part", F.spark_partition_id()))
     w = Window.partitionBy("_part").orderBy("_at")
     inner = ranged.withColumn("_n", F.row_number().over(w))
     sizes = inner.groupBy("_part").agg(F.count("*").alias("_size"))

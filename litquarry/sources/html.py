@@ -120,8 +120,8 @@ def page_title(metadata: Column) -> Column:
     return F.coalesce(*[pick(n) for n in TITLE_NAMES])
 
 
-def derive_files(pages: DataFrame, page_id: str, parsed: str, url: str, most: int = 24) -> DataFrame:
-    """File routes of every page: metadata, link and anchor addresses that look like files, each address once with its best priority, the best ``most`` kept per page with first seen first among equals."""
+def derive_files(pages: DataFrame, page_id: str, parsed: str, url: str, most: int | None = None) -> DataFrame:
+    """File routes of every page: metadata, link and anchor addresses that look like files, each address once with its best priority, ranked per page with first seen first among equals; all of them, or the best ``most``."""
     p = pages.select(page_id, F.coalesce(F.col(f"{parsed}.base_href"), F.col(url)).alias("_base"), F.col(f"{parsed}.metadata").alias("_m"), F.col(f"{parsed}.links").alias("_l"))
     meta = p.select(page_id, "_base", F.posexplode("_m").alias("position", "m")).filter(F.lower("m.name").like("%pdf_url")).select(page_id, "_base", "position", F.col("m.content").alias("href"), F.when(F.lower("m.name").startswith("citation"), "citation_meta").otherwise("other_meta").alias("method"))
     links = p.select(page_id, "_base", F.posexplode("_l").alias("position", "l")).filter(looks_like_pdf_url(F.col("l.href")) | (F.lower("l.text") == "pdf")).select(page_id, "_base", (F.col("position") + 10000).alias("position"), F.col("l.href").alias("href"), F.when(F.col("l.rel") == "a", "anchor").otherwise("link").alias("method"))
@@ -132,4 +132,5 @@ def derive_files(pages: DataFrame, page_id: str, parsed: str, url: str, most: in
     rows = rows.withColumn("priority", base + F.when(F.col("url").startswith("https://"), 20).otherwise(0) - F.when(F.lower("url").rlike("suppl|moesm|_si_"), 500).otherwise(0))
     best = rows.groupBy(page_id, "url").agg(F.max("priority").alias("priority"), F.min("position").alias("position"), F.array_sort(F.collect_set("method")).alias("evidence"))
     w = Window.partitionBy(page_id).orderBy(F.desc("priority"), "position")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    best = best.withColumn("rank", F.row_number().over(w))
+    return best if most is None else best.filter(F.col("rank") <= most)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from litquarry.session import ensure_checkpoint_dir
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -35,10 +38,18 @@ def sessions(log: DataFrame, key: str, time: str = "ts", gap: str = "30 minutes"
 
 
 def drain(stream: DataFrame, table: str, mode: str) -> DataFrame:
-    """Runs all available input into an in-memory table and returns it: for tests and small logs."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(table).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(table)
+    """Runs all available input into tables of the shared folder and returns what is there: the last one in complete mode, else all."""
+    folder = f"{ensure_checkpoint_dir(stream.sparkSession)}/{table}-{uuid.uuid4().hex}"
+    last: list[str] = []
+
+    def keep(rows: DataFrame, epoch: int) -> None:
+        path = f"{folder}/epoch={epoch}"
+        rows.write.mode("overwrite").parquet(path)
+        last[:] = [path] if mode == "complete" else [*last, path]
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(*last) if last else spark.createDataFrame([], stream.schema)
 
 
 def process_once(items: DataFrame, done_path: str, key: list[str], work, checkpoint: str) -> StreamingQuery:

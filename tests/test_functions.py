@@ -97,3 +97,49 @@ def test_edit_counts(spark):
     df = spark.createDataFrame([("abcd", "abxde"), ("", ""), (None, "a")], "a string, b string")
     got = [tuple(r[0]) for r in df.select(T.edit_counts("a", "b")).collect()]
     assert got[1] == (0, 0, 0) and got[2] == (0, 1, 0)
+
+
+@pytest.mark.parametrize("raw, want", [("{{((([[10.1000/Ab.c]])))}}", "10.1000/ab.c"), ("doi: DOI:10.1000/x.,;", "10.1000/x"), ("\"'“10.1000/y”'\".", "10.1000/y"), ("(see", None), ("", None), (None, None)])
+def test_identifiers_lose_every_wrapper(spark, raw, want):
+    df = spark.createDataFrame([(raw,)], "d string")
+    assert df.select(I.normalize_doi(F.col("d")).alias("n")).first()["n"] == want
+
+
+@pytest.mark.parametrize("raw, want", [('{"a": [1, 2}', {"a": [1, 2]}), ('{"a": [1, 2', {"a": [1, 2]}), ('{"a": "x', None), ('{"a": 1, "a": 2', None), ('{"a": [[[1', None), ('{"a": "b}]", "c": [1}', {"a": "b}]", "c": [1]})])
+def test_closers_are_put_outside_strings_only(raw, want):
+    from litquarry.functions.jsonfix import recover
+
+    if want is None:
+        with pytest.raises(ValueError):
+            recover(raw)
+    else:
+        assert recover(raw) == want
+
+
+def test_no_repair_beyond_the_limits():
+    from litquarry.functions import jsonfix
+
+    with pytest.raises(ValueError, match="too long"):
+        jsonfix.recover('{"a": [' + "1," * jsonfix.MOST_POSITIONS + "1}")
+
+
+@pytest.mark.parametrize("query, terms", [('water "heat  release" water', ["water", "heat release"]), ('a"b c"d', ["a", "b c", "d"]), ("CO₂", ["co2"])])
+def test_query_terms(query, terms):
+    from litquarry.functions.search import terms_of
+
+    assert terms_of(query) == terms
+    for bad in ("", "  ", '""', 'x "y'):
+        with pytest.raises(ValueError):
+            terms_of(bad)
+
+
+def test_search_sees_words_that_only_the_view_shows(spark):
+    """The first test on the raw text loses nothing: joined line breaks, wide letters, capitals."""
+    from litquarry.operators.search import search
+
+    texts = ["Water split", "wa-\nter split", "ｗａｔｅｒ split", "wine", None, "", "WATER and split-\n ting"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for full, want in ((True, [0, 1, 2, 6]), (False, [0, 1, 6])):
+        assert sorted(r["i"] for r in search(df, "t", "water split", full=full).collect()) == want
+    plan = search(df, "t", "water split", full=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 10

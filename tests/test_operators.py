@@ -44,3 +44,43 @@ def test_global_numbers(spark):
     df = spark.createDataFrame([(i, f"v{i % 7}") for i in range(50)], "i int, v string")
     got = {r["v"]: r["number"] for r in W.number_globally(df, "v", ["i"]).collect()}
     assert got == {f"v{i}": i + 1 for i in range(7)}
+
+
+def test_admit_folds_a_hot_key_without_gathering_it(spark):
+    import random
+
+    r = random.Random(4)
+    data = [("hot" if k % 10 else f"k{k % 70}", k, float(r.randrange(1, 30)) if k % 17 else None) for k in range(4000)]
+    df = spark.createDataFrame(data, "u string, i int, a double")
+    used, want = {}, set()
+    for u, i, a in data:
+        a = a or 0.0
+        if used.get(u, 0.0) + a <= 500:
+            used[u] = used.get(u, 0.0) + a
+            want.add(i)
+    got = W.admit(df, "u", ["i"], "a", 500.0)
+    assert {x["i"] for x in got.filter("admitted").collect()} == want and got.count() == 4000
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert W.admit(df.limit(0), "u", ["i"], "a", 5.0).count() == 0
+
+
+def test_quotes_meet_blocks_by_an_inner_word(spark):
+    """One source with most of the rows: only blocks that share a word of the quote are looked at; short quotes meet all."""
+    texts = [f"alpha{k} beta gamma{k % 50} delta water" for k in range(900)]
+    b = spark.createDataFrame([("s", k, t) for k, t in enumerate(texts)] + [("t", 1000, "other text"), ("s", 1001, None), ("s", 1002, "")], "src string, block int, text string")
+    quotes = [(1, "s", "a7 beta gamma7 de"), (2, "s", "ter"), (3, "t", "beta"), (4, "s", None), (5, "s", "delta water")]
+    q = spark.createDataFrame(quotes, "qid int, src string, quote string")
+    from litquarry.operators.joins import holding
+
+    got = {(r["qid"], r["block"]) for r in holding(q, b, "src", "quote", "text").select("qid", "block").collect()}
+    want = {(i, k) for i, s, t in quotes if t for k, x in enumerate(texts) if s == "s" and t in x}
+    assert got == want
+
+
+def test_attachment_roles(spark):
+    from litquarry.functions.classify import attachment_role
+
+    rows = [("Peer Review File", "/a"), ("", "/x/review_history.pdf"), ("Reporting-Summary", ""), ("Source  data Fig. 1", ""), ("", "/mm/41467_2020_MOESM1_ESM.pdf"), ("", "/files/suppinfo.pdf"), ("", "/x_supporting_info.pdf"), ("Supplementary%20Table", ""), ("补充材料", None), ("Figure 2", "/moesm1_esm"), ("preview file", "/y"), ("The data", "/z"), (None, None)]
+    want = ["PEER_REVIEW", "PEER_REVIEW", "REPORTING_SUMMARY", "SOURCE_DATA", "SUPPLEMENT", "SUPPLEMENT", "SUPPLEMENT", None, "SUPPLEMENT", "SUPPLEMENT", "PEER_REVIEW", None, None]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, label string, path string")
+    assert [r["role"] for r in df.select("i", attachment_role(F.col("label"), F.col("path")).alias("role")).orderBy("i").collect()] == want
