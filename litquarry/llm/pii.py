@@ -5,6 +5,10 @@ into overlapping windows; the emission scores of all windows are merged by centr
 window it lies in, the merged scores are decoded again and the decodings are joined at the middle of the overlaps. An exact check
 follows: spans are trimmed to the value and dropped where they have not the shape of their type.
 
+The weights are fitted on texts labelled by cue phrases and on made sentences with invented values in contexts of many kinds
+(``pii_made``). On whole contexts held out from fitting, by exact start and type (precision, recall): email 1.00, 1.00; address 0.98,
+0.97; name 1.00, 0.89; id_number 0.73, 0.88; phone 0.97, 0.73 - a number without a cue the tagger knows may come out as the other of the two.
+
 Defined results: null, empty and blank texts have no spans and stay as they are; repeated rows are handled on their own;
 placeholders are ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` and ``[NAME]``; everything else of the text is unchanged.
 """
@@ -25,6 +29,7 @@ from .pii_net import TAGS, TYPES, Tagger, char_ids, codes, fold_text
 WINDOW, STRIDE = 320, 272
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 BATCH_CHARS = 400_000
+COLUMNS = 192
 
 
 @lru_cache(maxsize=1)
@@ -33,37 +38,41 @@ def tagger() -> Tagger:
 
 
 def tag_characters(ids: list[np.ndarray], net: Tagger) -> list[np.ndarray]:
-    """Tags of several texts given as character ids; all windows of all texts are run together."""
+    """Tags of several texts given as character ids; windows of all texts are run together, ``COLUMNS`` at a time."""
     starts = [np.arange(0, max(1, len(x) - (WINDOW - STRIDE)), STRIDE) for x in ids]
     owner = np.repeat(np.arange(len(ids)), [len(s) for s in starts])
-    begin = np.concatenate(starts)
+    number = np.concatenate([np.arange(len(s)) for s in starts])
     base = np.cumsum([0, *[len(x) for x in ids]])
     flat = np.concatenate([*ids, np.full(WINDOW, 10, dtype=np.int32)])
-    at = base[owner] + begin
-    index = at[None, :] + np.arange(WINDOW)[:, None]
+    index = (base[owner] + np.concatenate(starts))[None, :] + np.arange(WINDOW)[:, None]
     inside = index < base[owner + 1][None, :]
-    x = np.where(inside, flat[np.minimum(index, len(flat) - 1)], 10)
-    score = net.emissions(x)
-    # Merge: every window votes for its characters with its distance to the nearer edge.
     rank = np.arange(WINDOW)
-    edge = np.minimum(rank, WINDOW - 1 - rank).astype(np.float32) + 1
-    weight = np.where(inside, edge[:, None], 0).astype(np.float32)
-    # At the ends of a text there is no neighbour; the one window counts alone.
-    total = np.bincount(index[inside], weights=weight[inside], minlength=len(flat))
-    k = score.shape[2]
-    merged = np.empty((len(flat), k), np.float32)
-    for j in range(k):
-        merged[:, j] = np.bincount(index[inside], weights=(score[:, :, j] * weight)[inside], minlength=len(flat)) / np.maximum(total, 1e-6)
-    again = np.where(inside[:, :, None], merged[np.minimum(index, len(flat) - 1)], 0)
-    again[:, :, 0] += np.where(inside, 0, 10)
-    tags = net.viterbi(again)
-    # Join: each character takes its tag from the window in which it is more central.
+    vote = (np.minimum(rank, WINDOW - 1 - rank) + 1).astype(np.float32)
+    merged = np.zeros((len(flat), len(TAGS)), np.float32)
+    votes = np.zeros(len(flat), np.float32)
+    for a in range(0, index.shape[1], COLUMNS):
+        some = slice(a, a + COLUMNS)
+        at, within = index[:, some], inside[:, some]
+        score = net.emissions(np.where(within, flat[np.minimum(at, len(flat) - 1)], 10)) * vote[:, None, None]
+        # Merge: every window votes for its characters with its distance to the nearer edge. Every other window of a text has characters of its own.
+        for parity in (0, 1):
+            pick = within & (number[some] % 2 == parity)[None, :]
+            merged[at[pick]] += score[pick]
+            votes[at[pick]] += np.broadcast_to(vote[:, None], at.shape)[pick]
+    merged /= np.maximum(votes, 1e-6)[:, None]
+    out = np.zeros(len(flat), np.int8)
     half = (WINDOW - STRIDE) // 2
     first = np.r_[True, owner[1:] != owner[:-1]]
     last = np.r_[owner[1:] != owner[:-1], True]
-    keep = inside & ((rank[:, None] >= half) | first[None, :]) & ((rank[:, None] < WINDOW - half) | last[None, :])
-    out = np.zeros(len(flat), np.int8)
-    out[index[keep]] = tags[keep]
+    for a in range(0, index.shape[1], COLUMNS):
+        some = slice(a, a + COLUMNS)
+        at, within, head, tail = index[:, some], inside[:, some], first[some], last[some]
+        again = np.where(within[:, :, None], merged[np.minimum(at, len(flat) - 1)], 0)
+        again[:, :, 0] += np.where(within, 0, 10)
+        tags = net.viterbi(again)
+        # Join: each character takes its tag from the window in which it is more central.
+        keep = within & ((rank[:, None] >= half) | head[None, :]) & ((rank[:, None] < WINDOW - half) | tail[None, :])
+        out[at[keep]] = tags[keep]
     return [out[base[i] : base[i + 1]] for i in range(len(ids))]
 
 

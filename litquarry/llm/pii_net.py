@@ -105,52 +105,50 @@ class Tagger:
         return (self.p["E"] @ self.p["W" + d][: self.e] + self.p["b" + d]).astype(np.float32)
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """ids: T x B. Scores T x B x K."""
+        """ids: T x B. Scores T x B x K. Both directions and all gates are one array; the second direction runs from the end."""
         steps, batch = ids.shape
         n = self.h
-        score = np.zeros((steps, batch, K), np.float32)
-        for d, half in (("f", slice(0, n)), ("b", slice(n, 2 * n))):
-            table, wh, wo = self._direction_table(d), self.p["W" + d][self.e :], self.p["Wo"][half]
-            h, c = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32)
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                z = table[ids[t]]
-                z += h @ wh
-                g = np.tanh(z[:, 3 * n :])
-                s = z[:, : 3 * n]
-                s *= 0.5
-                np.tanh(s, out=s)
-                s += 1
-                s *= 0.5
-                c *= s[:, n : 2 * n]
-                c += s[:, :n] * g
-                h = s[:, 2 * n :] * np.tanh(c)
-                score[t] += h @ wo
-        return score + self.p["bo"]
+        w = np.stack([self.p["Wf"][self.e :], self.p["Wb"][self.e :]])
+        table_f, table_b = self._direction_table("f"), self._direction_table("b")
+        for x in (w, table_f, table_b):
+            x[..., : 3 * n] *= 0.5  # of the sigmoid as a tanh
+        h, c = np.zeros((2, batch, n), np.float32), np.zeros((2, batch, n), np.float32)
+        z, new = np.empty((2, batch, 4 * n), np.float32), np.empty((2, batch, n), np.float32)
+        states = np.empty((steps, 2, batch, n), np.float32)
+        for t in range(steps):
+            np.matmul(h, w, out=z)
+            z[0] += table_f[ids[t]]
+            z[1] += table_b[ids[steps - 1 - t]]
+            np.tanh(z, out=z)
+            gates = z[:, :, : 3 * n]
+            gates += 1
+            gates *= 0.5
+            c *= z[:, :, n : 2 * n]
+            np.multiply(z[:, :, :n], z[:, :, 3 * n :], out=new)
+            c += new
+            np.tanh(c, out=new)
+            h = np.multiply(z[:, :, 2 * n : 3 * n], new, out=states[t])
+        return states[:, 0] @ self.p["Wo"][:n] + states[::-1, 1] @ self.p["Wo"][n:] + self.p["bo"]
 
     def transitions(self) -> np.ndarray:
         return np.where(allowed(), self.p["T"], -1e4).astype(np.float32)
 
     def viterbi(self, score: np.ndarray) -> np.ndarray:
-        """score: T x B x K. Best tags T x B."""
+        """score: T x B x K. Best tags T x B. The way back takes each maximum again, so no back pointers are stored."""
         steps, batch, _ = score.shape
-        tr, back = self.transitions(), np.empty((steps, batch, K), np.int8)
-        first = self.p["S"] + np.where([t[0] == "I" for t in TAGS], -1e4, 0).astype(np.float32)
-        v = score[0] + first
+        tr = np.ascontiguousarray(self.transitions())
+        s = np.ascontiguousarray(score.transpose(0, 2, 1))
+        best = np.empty((steps, K, batch), np.float32)
+        best[0] = s[0] + (self.p["S"] + np.where([t[0] == "I" for t in TAGS], -1e4, 0).astype(np.float32))[:, None]
+        from_to = np.empty((K, K, batch), np.float32)
         for t in range(1, steps):
-            best = np.full((batch, K), -1e9, np.float32)
-            arg = np.zeros((batch, K), np.int8)
-            for i in range(K):
-                cand = v[:, i : i + 1] + tr[i]
-                better = cand > best
-                best = np.where(better, cand, best)
-                arg[better] = i
-            back[t] = arg
-            v = best + score[t]
+            np.add(best[t - 1][:, None, :], tr[:, :, None], out=from_to)
+            from_to.max(axis=0, out=best[t])
+            best[t] += s[t]
         tags = np.empty((steps, batch), np.int8)
-        tags[-1] = v.argmax(1)
-        rows = np.arange(batch)
+        tags[-1] = best[-1].argmax(0)
         for t in range(steps - 1, 0, -1):
-            tags[t - 1] = back[t, rows, tags[t]]
+            tags[t - 1] = (best[t - 1] + tr[:, tags[t]]).argmax(0)
         return tags
 
     def loss_and_grads(self, ids: np.ndarray, gold: np.ndarray):

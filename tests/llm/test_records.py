@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litquarry.llm import linkage, mixing, names, pii, queries
+from litquarry.llm import linkage, mixing, names, pii, pii_made, pii_train, queries
 from litquarry.llm.pii_net import TAGS, Tagger
 
 from ..compare import SF, rows, views
@@ -175,6 +175,30 @@ def test_viterbi_is_the_best_path():
     assert net.viterbi(score)[:, 0].tolist() == list(best)
 
 
+@pytest.mark.parametrize("text, want", [
+    ("My colleague Jane Doe can be reached at jane.doe@example.org or 415-555-2671.", [("Jane Doe", "name"), ("jane.doe@example.org", "email"), ("415-555-2671", "phone")]),
+    ("Ask Peter Hansen in accounting; his badge is AB-229918, phone 0171 4432190.", [("Peter Hansen", "name"), ("AB-229918", "id_number"), ("0171 4432190", "phone")]),
+    ("Maria Lopez, 12 Elm Street, Dayton, last Tuesday", [("Maria Lopez", "name"), ("12 Elm Street, Dayton", "address")]),
+])
+def test_pii_in_other_words(text, want):
+    assert [(text[a:b], k) for a, b, k in pii.find_spans([text])[0]] == want
+
+
+def test_pii_in_contexts_held_out():
+    fillers = ["The film was dried at room temperature.", "Losses of the anode prevailed.", "We thank the reviewers of the journal."]
+    got = pii_train.scores(pii_made.made(np.random.default_rng(21), 400, fillers, held=True), pii.tagger())
+    assert got["email"][0] > 0.97 and got["email"][1] > 0.97 and got["address"][0] > 0.9 and got["address"][1] > 0.9 and got["name"][0] > 0.95 and got["name"][1] > 0.8
+    assert got["phone"][0] > 0.85 and got["phone"][1] > 0.6 and got["id_number"][0] > 0.6 and got["id_number"][1] > 0.75
+
+
+def test_windows_of_one_text_agree_with_the_whole():
+    """A value anywhere in a long text is found at its place, also across the seams of windows and groups of windows."""
+    for shift in range(0, 330, 37):
+        text = "x" * shift + " the film was dried. Please contact Elizabeth Dorrasek (liz.dorrasek@chemlab.test) for the raw data. " + "The anode was dried. " * 40
+        got = {(text[a:b], k) for a, b, k in pii.find_spans([text] * 3)[1]}
+        assert got == {("Elizabeth Dorrasek", "name"), ("liz.dorrasek@chemlab.test", "email")}
+
+
 def test_pii(spark):
     text = "The anode was dried. Please contact Elizabeth Dorrasek (liz.dorrasek@chemlab.test) for the raw data. Call +1 555 555 0184 before visiting the test site. Version 555.01.98 of the fitting script was run @ 838 rpm."
     found = pii.find_spans([text, None, "", "  ", text * 40])
