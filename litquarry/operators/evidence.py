@@ -22,7 +22,7 @@ def with_fallbacks(rows: DataFrame, levels: list[tuple[str, DataFrame, list[str]
 
 def unique_location(quotes: DataFrame, blocks: DataFrame, source: str, quote: str, text: str, quote_id: str, block_id: str) -> DataFrame:
     """The block of a quote that occurs in one block of its source only, and there once."""
-    hit = holding(quotes, blocks.select(source, block_id, text), source, quote, text)
+    hit = holding(quotes, blocks.select(source, block_id, text), source, quote, text, block_id)
     n = ((F.length(text) - F.length(F.replace(F.col(text), F.col(quote), F.lit("")))) / F.length(quote)).cast("bigint")
     return hit.groupBy(quote_id).agg(F.count("*").alias("_blocks"), F.min(n).alias("_n"), F.min(block_id).alias(block_id)).filter("_blocks = 1 and _n = 1").select(quote_id, block_id)
 

@@ -14,23 +14,25 @@ def exactly_one(children: DataFrame, parents: DataFrame, on: list[str], child_id
     return children.join(p, on, "left").select(child_id, *on, F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches"), F.when(F.col("matches") == 1, F.col("_p")).alias("parent"))
 
 
-def holding(quotes: DataFrame, blocks: DataFrame, source: str, quote: str, text: str) -> DataFrame:
-    """Quotes joined with the blocks of their source that hold them.
+def holding(quotes: DataFrame, blocks: DataFrame, source: str, quote: str, text: str, block_id: str) -> DataFrame:
+    """Quotes joined with the blocks of their source that hold them; ``block_id`` is unique in a source.
 
     Besides the source, the key is the longest inner word of the quote: inner words are whole words of every text that holds the quote, so a
-    large source is not joined all with all. The substring test confirms. Quotes without an inner word meet all blocks of their source.
+    large source is not joined all with all. Only hashed words are shuffled; texts join the candidates, and the substring test confirms.
+    Quotes without an inner word meet all blocks of their source.
     """
     words = lambda c: F.split(c, r"\s+")
     inner = F.slice(words(F.col(quote)), 2, F.greatest(F.size(words(F.col(quote))) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    q = quotes.withColumn("_word", F.xxhash64(F.coalesce(longest, F.lit(""))))
-    b = blocks.withColumn("_word", F.explode(F.array_distinct(F.transform(F.array_append(words(F.col(text)), F.lit("")), lambda w: F.xxhash64(w)))))
-    return q.join(b, [source, "_word"]).filter(F.instr(F.col(text), F.col(quote)) > 0).drop("_word")
+    q = quotes.filter(F.col(quote).isNotNull()).withColumn("_word", F.xxhash64(F.coalesce(longest, F.lit(""))))
+    b = blocks.filter(F.col(text).isNotNull()).select(source, block_id, F.explode(F.array_distinct(F.transform(F.array_append(words(F.col(text)), F.lit("")), lambda w: F.xxhash64(w)))).alias("_word"))
+    found = q.join(b, [source, "_word"]).drop("_word")
+    return found.join(blocks, [source, block_id]).filter(F.instr(F.col(text), F.col(quote)) > 0)
 
 
 def containment(quotes: DataFrame, blocks: DataFrame, source: str, quote: str, text: str, quote_id: str, block_id: str, most: int = 3) -> DataFrame:
     """Blocks of the same source that hold the quote, the first ``most`` of each."""
-    hit = holding(quotes, blocks, source, quote, text)
+    hit = holding(quotes, blocks, source, quote, text, block_id)
     w = Window.partitionBy(quote_id).orderBy(block_id)
     return hit.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
 

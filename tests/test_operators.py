@@ -72,7 +72,7 @@ def test_quotes_meet_blocks_by_an_inner_word(spark):
     q = spark.createDataFrame(quotes, "qid int, src string, quote string")
     from litquarry.operators.joins import holding
 
-    got = {(r["qid"], r["block"]) for r in holding(q, b, "src", "quote", "text").select("qid", "block").collect()}
+    got = {(r["qid"], r["block"]) for r in holding(q, b, "src", "quote", "text", "block").select("qid", "block").collect()}
     want = {(i, k) for i, s, t in quotes if t for k, x in enumerate(texts) if s == "s" and t in x}
     assert got == want
 
