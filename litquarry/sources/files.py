@@ -7,7 +7,7 @@ import zipfile
 from io import BytesIO
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -25,24 +25,91 @@ def scan_sidecars(spark: SparkSession, root: str, suffix: str = "*.acquisition.j
     return r.json(root).withColumn("path", F.input_file_name())
 
 
-def gate_code(sidecars: DataFrame) -> DataFrame:
-    """The first check a record fails, or OK."""
-    return sidecars.withColumn(
-        "gate_code",
-        gate(
-            [
-                (F.col("_corrupt").isNotNull(), "UNREADABLE_SIDECAR"),
-                (F.col("schema").isNull(), "UNKNOWN_SCHEMA"),
-                (F.col("status") != "VERIFIED", "NOT_VERIFIED"),
-                (~F.col("retrieval.sha256").rlike("^[0-9a-f]{64}$"), "BAD_HASH"),
-                (~F.col("pdf_validation.valid_pdf"), "INVALID_PDF"),
-                (F.col("pdf_validation.page_count") <= 0, "NO_PAGES"),
-                (normalize_doi(F.col("target.doi")).isNull(), "BAD_DOI"),
-                (F.col("identity_validation.status") != "MATCH", "IDENTITY_MISMATCH"),
-                (F.col("identity_validation.document_role") != "ARTICLE", "NOT_AN_ARTICLE"),
-            ]
-        ),
-    )
+# The checks of a record before its file is parsed, in their order.
+GATE_CODES = [
+    "PDF_NOT_FOUND", "UNVERIFIED_PATH", "SIDECAR_NOT_FOUND", "INVALID_SIDECAR", "UNKNOWN_SIDECAR_SCHEMA", "STATUS_NOT_VERIFIED", "PDF_VALIDATION_FAILED", "IDENTITY_NOT_MATCHED", "DOCUMENT_NOT_ARTICLE",
+    "DOI_MISMATCH", "INVALID_RECORDED_HASH", "PDF_HASH_MISMATCH", "PDF_UNREADABLE", "PAGE_COUNT_MISMATCH",
+]
+
+
+def gate_code(sidecars: DataFrame, schemas: list[str] | None = None, local: str = "") -> DataFrame:
+    """The first check a record fails, or OK.
+
+    ``sidecars`` has the fields of ``SIDECAR``, ``_corrupt`` and ``path``; with them, as far as they are known, ``file_path``, ``file_sha256`` and
+    ``file_pages`` of the file found for the record (null: not read) and ``asked_doi``. ``schemas``: the names that are accepted (none given: any);
+    ``local``: the one of files registered by hand, which are REGISTERED and DECLARED instead of VERIFIED and MATCH, may be supplements of a
+    named parent, and need a title where they have no DOI.
+    """
+    have = set(sidecars.columns)
+    col = lambda n, kind="string": F.col(n) if n in have else F.lit(None).cast(kind)
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    mine = flag(F.col("schema") == local) if local else F.lit(False)
+    doi, asked = normalize_doi(F.col("target.doi")), normalize_doi(col("asked_doi"))
+    role, parent = F.col("identity_validation.document_role"), col("parent_sha256")
+    hash_, real = F.lower(F.col("retrieval.sha256")), F.lower(col("file_sha256"))
+    known = flag(F.col("schema").isin(schemas)) if schemas else F.col("schema").isNotNull()
+    supplement = mine & flag(role == "SUPPLEMENT") & flag(parent.rlike("^[0-9a-fA-F]{64}$"))
+    nameless = F.col("target.doi").isNull() & (F.coalesce(F.trim("target.expected_title"), F.lit("")) == "")
+    no_file = col("file_path").isNull() if "file_path" in have else F.lit(False)
+    checks = [
+        (no_file, "PDF_NOT_FOUND"),
+        (flag(F.lower(col("file_path")).rlike("(?:^|[/\\\\])_unverified(?:[/\\\\]|$)")), "UNVERIFIED_PATH"),
+        (F.col("path").isNull() if "path" in have else F.lit(False), "SIDECAR_NOT_FOUND"),
+        (F.col("_corrupt").isNotNull(), "INVALID_SIDECAR"),
+        (~known, "UNKNOWN_SIDECAR_SCHEMA"),
+        (~flag(F.col("status") == F.when(mine, "REGISTERED").otherwise("VERIFIED")), "STATUS_NOT_VERIFIED"),
+        (~flag(F.col("pdf_validation.valid_pdf")), "PDF_VALIDATION_FAILED"),
+        (~flag(F.col("identity_validation.status") == F.when(mine, "DECLARED").otherwise("MATCH")), "IDENTITY_NOT_MATCHED"),
+        (~(flag(role == "ARTICLE") & ~(mine & parent.isNotNull()) | supplement), "DOCUMENT_NOT_ARTICLE"),
+        (F.col("target.doi").isNotNull() & doi.isNull() | asked.isNotNull() & ~asked.eqNullSafe(doi), "DOI_MISMATCH"),
+        (nameless, "IDENTITY_NOT_MATCHED"),
+        (~flag(hash_.rlike("^[0-9a-f]{64}$")), "INVALID_RECORDED_HASH"),
+        (flag(real != hash_), "PDF_HASH_MISMATCH"),
+        (F.coalesce(F.col("pdf_validation.page_count") < 1, F.lit(True)), "INVALID_SIDECAR"),
+        (flag(col("file_pages", "int") < 0), "PDF_UNREADABLE"),
+        (flag(col("file_pages", "int") != F.col("pdf_validation.page_count")), "PAGE_COUNT_MISMATCH"),
+    ]
+    return sidecars.withColumn("gate_code", gate(checks))
+
+
+def scan_corpus(spark: SparkSession, root: str, schemas: list[str] | None = None) -> DataFrame:
+    """Every record below ``root`` with the file of its hash and the check it fails; files without a record are rows with SIDECAR_NOT_FOUND.
+
+    Files are hashed where they lie, in tasks; a record and a file meet by hash, so moved files are found. Copies of a file are one row with the least path.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(root).select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("file_sha256"))
+    files = files.groupBy("file_sha256").agg(F.min("file_path").alias("file_path"), F.count("*").alias("copies"))
+    records = scan_sidecars(spark, root)
+    x = records.withColumn("file_sha256", F.lower("retrieval.sha256")).join(files, "file_sha256", "full_outer")
+    return gate_code(x, schemas)
+
+
+FIELDS = ["doi", "title", "authors", "journal", "year", "volume", "issue", "pages", "cnki_id", "folder", "filename", "tags"]
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """A list of requests by its suffix - lines of text, a JSON array, or CSV - as rows ``line, doi, title, ..., tags, error``.
+
+    ``line`` counts the entries from 1. A row without DOI and title, or with a year that has not four digits, keeps its place and says so in ``error``.
+    """
+    suffix = path.lower().rsplit(".", 1)[-1]
+    if suffix == "csv":
+        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    elif suffix == "json":
+        text = spark.read.option("wholetext", True).text(path)
+        items = text.select(F.posexplode(F.from_json("value", "array<string>")).alias("_n", "_item"))
+        fields = ", ".join(f"{c} string" for c in FIELDS)
+        raw = items.select("_n", F.coalesce(F.from_json("_item", fields), F.struct(*[(F.trim("_item") if c == "doi" else F.lit(None).cast("string")).alias(c) for c in FIELDS])).alias("r"), "_item")
+        raw = raw.select("_n", *[(F.when(~F.col("_item").startswith("{"), F.trim("_item")).otherwise(F.col("r.doi")) if c == "doi" else F.when(F.col("_item").startswith("{"), F.col(f"r.{c}"))).alias(c) for c in FIELDS])
+    else:
+        raw = spark.read.text(path).select(F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("doi")).filter("doi <> '' and not startswith(doi, '#')")
+    raw = raw.withColumn("_n", F.monotonically_increasing_id()) if "_n" not in raw.columns else raw
+    raw = raw.select("_n", *[(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in FIELDS])
+    listed = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.filter(F.transform(F.split(c, ";"), lambda v: F.trim(v)), lambda v: v != ""))
+    error = F.when(F.col("doi").isNull() & F.col("title").isNull(), "neither doi nor title").when(~F.coalesce(F.col("year").rlike("^[0-9]{4}$"), F.lit(True)), "the year has not four digits").when(F.col("doi").isNotNull() & normalize_doi(F.col("doi")).isNull(), "not a doi")
+    out = raw.withColumn("error", error).withColumn("doi", normalize_doi(F.col("doi"))).withColumn("year", F.col("year").try_cast("int")).withColumn("authors", listed(F.col("authors"))).withColumn("tags", listed(F.col("tags")))
+    w = Window.orderBy("_n")  # a list of requests is one file that people wrote
+    return out.withColumn("line", F.row_number().over(w)).select("line", *FIELDS, "error")
 
 
 def read_doi_list(spark: SparkSession, path: str) -> DataFrame:
