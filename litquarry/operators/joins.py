@@ -37,13 +37,17 @@ def containment(quotes: DataFrame, blocks: DataFrame, source: str, quote: str, t
     return hit.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
 
 
-def spanning(quotes: DataFrame, blocks: DataFrame, source: str, quote: str, text: str, order: str, page: str) -> DataFrame:
-    """Pairs of neighbouring blocks of one page over which a quote runs, joined by a space or at a hyphen."""
+def seams(blocks: DataFrame, source: str, text: str, order: str, page: str) -> DataFrame:
+    """Neighbouring blocks of one page with ``_next`` and, joined by a space or at a hyphen, ``_both``."""
     w = Window.partitionBy(source, page).orderBy(order)
     b = blocks.withColumn("_next", F.lead(text).over(w)).filter("_next is not null")
-    joined = F.when(F.col(text).rlike("[-‐]$"), F.concat(F.regexp_replace(text, "[-‐]$", ""), F.col("_next"))).otherwise(F.concat_ws(" ", text, "_next"))
-    b = b.withColumn("_both", joined)
-    return quotes.join(b, source).filter((F.instr("_both", F.col(quote)) > 0) & (F.instr(F.col(text), F.col(quote)) == 0) & (F.instr(F.col("_next"), F.col(quote)) == 0)).drop("_both", "_next")
+    return b.withColumn("_both", F.when(F.col(text).rlike("[-‐]$"), F.concat(F.regexp_replace(text, "[-‐]$", ""), F.col("_next"))).otherwise(F.concat_ws(" ", text, "_next")))
+
+
+def spanning(quotes: DataFrame, blocks: DataFrame, source: str, quote: str, text: str, order: str, page: str) -> DataFrame:
+    """Pairs of neighbouring blocks of one page over which a quote runs; ``order`` is unique in a source."""
+    hit = holding(quotes, seams(blocks, source, text, order, page), source, quote, "_both", order)
+    return hit.filter((F.instr(F.col(text), F.col(quote)) == 0) & (F.instr(F.col("_next"), F.col(quote)) == 0)).drop("_both", "_next")
 
 
 def box_area(b: str) -> Column:
@@ -69,6 +73,18 @@ def box_join(outer: DataFrame, inner: DataFrame, on: list[str], outer_box: str,
     return o.join(i, [*on, "_cx", "_cy"]).filter((box_area(inner_box) > 0) & (intersection(outer_box, inner_box) >= share * box_area(inner_box))).drop("_cx", "_cy")
 
 
+def overlapping(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, cells: int = 8) -> DataFrame:
+    """Pairs of boxes of a page that overlap. Both are put on the grid cells they cover; a pair counts in the first cell they share."""
+    cell = lambda c: F.least(F.greatest(F.floor(c * cells), F.lit(0)), F.lit(cells - 1)).cast("int")
+
+    def placed(d: DataFrame, box: str) -> DataFrame:
+        d = d.withColumn("_cx", F.explode(F.sequence(cell(F.col(f"{box}.x0")), cell(F.col(f"{box}.x1")))))
+        return d.withColumn("_cy", F.explode(F.sequence(cell(F.col(f"{box}.y0")), cell(F.col(f"{box}.y1")))))
+
+    first = (F.col("_cx") == cell(F.greatest(F.col(f"{a}.x0"), F.col(f"{b}.x0")))) & (F.col("_cy") == cell(F.greatest(F.col(f"{a}.y0"), F.col(f"{b}.y0"))))
+    return placed(left, a).join(placed(right, b), [*on, "_cx", "_cy"]).filter(first & (intersection(a, b) > 0)).drop("_cx", "_cy")
+
+
 def explode_spans(cells: DataFrame, start: str, length: str, out: str) -> DataFrame:
     """One row for every position a span covers, for an equi-join instead of a range join."""
     return cells.withColumn(out, F.explode(F.sequence(F.col(start), F.col(start) + F.greatest(F.col(length), F.lit(1)) - 1)))

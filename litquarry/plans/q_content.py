@@ -23,10 +23,23 @@ def src10_links(spark, sf):
     return table(spark, sf, "retrieved_page").filter("text is not null").select("page_id", F.regexp_count("text", F.lit(r"<a\s[^>]*href=")).alias("anchors"))
 
 
-@query("srt4_derived_files")
+_FILE_SQL = r"regexp_matches(u, '(?i)(?:\.pdf(?:$|[?#;])|/pdf(?:/|$|[?#])|/epdf/|[?&](?:format|type|download)=pdf)')"
+
+
+@query(
+    "srt4_derived_files",
+    f"""WITH p AS (SELECT record_id, url, links FROM paper_metadata WHERE url IS NOT NULL), l AS (SELECT record_id, i, links[i + 1].url AS u, links[i + 1].content_type AS t FROM (SELECT record_id, links, unnest(range(len(links))) AS i FROM p)),
+    r AS (SELECT record_id, 0 AS position, url || '.pdf' AS u, {H.PRIORITY['citation_meta']} AS base FROM p UNION ALL SELECT record_id, 10000 + i, u, {H.PRIORITY['anchor']} FROM l WHERE {_FILE_SQL} OR lower(t) = 'pdf'),
+    g AS (SELECT record_id, u, max(base + CASE WHEN u LIKE 'https://%' THEN 20 ELSE 0 END - CASE WHEN regexp_matches(lower(u), 'suppl|moesm|_si_') THEN 500 ELSE 0 END) AS priority, min(position) AS position FROM r GROUP BY 1, 2)
+    SELECT record_id, u AS url, priority, position, row_number() OVER (PARTITION BY record_id ORDER BY priority DESC, position) AS rank FROM g""",
+)
 def srt4(spark, sf):
-    p = H.parse_pages(table(spark, sf, "retrieved_page").select("page_id", "text", "final_url").filter("text is not null"), "text")
-    return H.derive_files(p, "page_id", "parsed", "final_url").drop("evidence")
+    """Records as pages that name a file in their metadata and link to others."""
+    t = table(spark, sf, "paper_metadata").filter("url is not null")
+    meta = F.array(F.struct(F.lit("citation_pdf_url").alias("name"), F.concat("url", F.lit(".pdf")).alias("content")))
+    links = F.transform("links", lambda x: F.struct(x["url"].alias("href"), x["content_type"].alias("text"), F.lit("a").alias("rel")))
+    p = t.select("record_id", "url", F.struct(F.lit(None).cast("string").alias("base_href"), meta.alias("metadata"), links.alias("links")).alias("parsed"))
+    return H.derive_files(p, "record_id", "parsed", "url").select("record_id", "url", "priority", "position", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("x16_page_title", "SELECT page_id, coalesce(" + ", ".join(f"list_filter(list_transform(list_filter(metadata, lambda m: lower(m.name) = '{n}' AND trim(m.content) <> ''), lambda m: trim(m.content)), lambda s: true)[1]" for n in H.TITLE_NAMES) + ") AS title FROM parsed_html")

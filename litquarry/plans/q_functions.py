@@ -9,6 +9,9 @@ from litquarry.functions import text as T
 from litquarry.plans.registry import query
 from litquarry.session import table
 
+_BARE = r"regexp_replace(trim(doi), '^(?i)(?:doi\s*[:：]\s*|(?:https?://)?(?:dx\.)?doi\.(?:org|example)/+)', '')"
+# The normal form of a column doi.
+NORMAL_DOI = rf"CASE WHEN regexp_full_match({_BARE}, '10\.[0-9]{{4,9}}/[-._;()/:<>#?A-Za-z0-9]+') THEN lower({_BARE}) END"
 DOI_SQL = r"""CASE WHEN regexp_full_match(d, '10\.[0-9]{4,9}/[-._;()/:<>#?A-Za-z0-9]+') THEN lower(d) END"""
 
 
@@ -69,10 +72,14 @@ def str13(spark, sf):
     return j.select("journal", F.array_join(F.array_sort(I.journal_aliases(F.col("journal"))), "|").alias("aliases"))
 
 
-@query("str14_field_match", r"""WITH q AS (SELECT request_id, lower(doi) AS d, volume AS v, pages AS p FROM paper_request WHERE doi LIKE '10.%'), m AS (SELECT record_id, lower(doi) AS d, volume AS w, pages AS r FROM paper_metadata WHERE doi LIKE '10.%') SELECT request_id, record_id, regexp_replace(v, '^0+([0-9])', '\1') = regexp_replace(w, '^0+([0-9])', '\1') AS volume_match, regexp_extract(p, '([0-9]+)', 1) = regexp_extract(r, '([0-9]+)', 1) AS page_match FROM q JOIN m USING (d)""")
+@query(
+    "str14_field_match",
+    rf"""WITH q AS (SELECT request_id, {NORMAL_DOI} AS d, volume AS v, pages AS p FROM paper_request), m AS (SELECT record_id, {NORMAL_DOI} AS d, volume AS w, pages AS r FROM paper_metadata)
+    SELECT request_id, record_id, regexp_replace(v, '^0+([0-9])', '\1') = regexp_replace(w, '^0+([0-9])', '\1') AS volume_match, regexp_extract(p, '([0-9]+)', 1) = regexp_extract(r, '([0-9]+)', 1) AS page_match FROM q JOIN m USING (d)""",
+)
 def str14(spark, sf):
-    q = table(spark, sf, "paper_request").filter("doi like '10.%'").select("request_id", F.lower("doi").alias("d"), F.col("volume").alias("v"), F.col("pages").alias("p"))
-    m = table(spark, sf, "paper_metadata").filter("doi like '10.%'").select("record_id", F.lower("doi").alias("d"), F.col("volume").alias("w"), F.col("pages").alias("r"))
+    q = table(spark, sf, "paper_request").select("request_id", I.normalize_doi(F.col("doi")).alias("d"), F.col("volume").alias("v"), F.col("pages").alias("p"))
+    m = table(spark, sf, "paper_metadata").select("record_id", I.normalize_doi(F.col("doi")).alias("d"), F.col("volume").alias("w"), F.col("pages").alias("r"))
     return q.join(m, "d").select("request_id", "record_id", (I.field_key(F.col("v")) == I.field_key(F.col("w"))).alias("volume_match"), (I.first_page(F.col("p")) == I.first_page(F.col("r"))).alias("page_match"))
 
 
@@ -86,9 +93,12 @@ def str17(spark, sf):
     return table(spark, sf, "search_hit").select("hit_id", T.search_text(F.col("text")).alias("view"))
 
 
-@query("str21_furniture_key", r"SELECT fragment_id, trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[0-9]+', '#', 'g')) AS line_key FROM fragment WHERE text IS NOT NULL AND regexp_full_match(text, '[\x20-\x7e]*')")
+@query(
+    "str21_furniture_key",
+    r"SELECT fragment_id, trim(regexp_replace(regexp_replace(lower(text), '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), '[0-9]+', '#', 'g')) AS line_key FROM fragment WHERE text IS NOT NULL",
+)
 def str21(spark, sf):
-    return table(spark, sf, "fragment").filter(F.col("text").rlike(r"^[\x20-\x7e]*$")).select("fragment_id", T.furniture_key(F.col("text")).alias("line_key"))
+    return table(spark, sf, "fragment").filter("text is not null").select("fragment_id", T.furniture_key(F.col("text")).alias("line_key"))
 
 
 @query("str22_quotation", r"SELECT hit_id, trim(regexp_replace(replace(replace(replace(replace(replace(text, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS quotation FROM search_hit")
@@ -147,13 +157,18 @@ def prj7(spark, sf):
     return x.select("record_id", "l.url", F.when(F.col("l.content_type") == "application/pdf", "pdf").when(F.col("l.content_type").startswith("text/html"), "landing").otherwise("unknown").alias("url_type"))
 
 
-@query("prj9_fallback_projection", "SELECT r.request_id, coalesce(nullif(trim(m.journal), ''), nullif(trim(r.journal), ''), '') AS journal, coalesce(m.year, r.year) AS year, coalesce(nullif(trim(m.title), ''), nullif(trim(r.title), ''), r.filename, '') AS title FROM paper_request r LEFT JOIN (SELECT lower(doi) AS d, arg_min(journal, record_id) AS journal, min(year) AS year, arg_min(title, record_id) AS title FROM paper_metadata WHERE doi LIKE '10.%' GROUP BY 1) m ON lower(r.doi) = m.d")
+@query(
+    "prj9_fallback_projection",
+    rf"""SELECT r.request_id, coalesce(nullif(trim(m.journal), ''), nullif(trim(r.journal), ''), '') AS journal, coalesce(m.year, r.year) AS year, coalesce(nullif(trim(m.title), ''), nullif(trim(r.title), ''), r.filename, '') AS title
+    FROM (SELECT *, {NORMAL_DOI} AS d FROM paper_request) r LEFT JOIN (SELECT {NORMAL_DOI} AS d, arg_min(journal, record_id) AS journal, min(year) AS year, arg_min(title, record_id) AS title FROM paper_metadata GROUP BY 1) m ON r.d = m.d""",
+)
 def prj9(spark, sf):
-    m = table(spark, sf, "paper_metadata").filter("doi like '10.%'").groupBy(F.lower("doi").alias("d"))
+    """Fields of the registry, else of the request, else the file name."""
+    m = table(spark, sf, "paper_metadata").groupBy(I.normalize_doi(F.col("doi")).alias("d"))
     m = m.agg(F.min_by("journal", F.when(F.col("journal").isNotNull(), F.col("record_id"))).alias("mj"), F.min("year").alias("my"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("record_id"))).alias("mt"))
-    r = table(spark, sf, "paper_request")
+    r = table(spark, sf, "paper_request").withColumn("d", I.normalize_doi(F.col("doi")))
     full = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    return r.join(m, F.lower("doi") == F.col("d"), "left").select("request_id", F.coalesce(full(F.col("mj")), full(F.col("journal")), F.lit("")).alias("journal"), F.coalesce("my", "year").alias("year"), F.coalesce(full(F.col("mt")), full(F.col("title")), "filename", F.lit("")).alias("title"))
+    return r.join(m, "d", "left").select("request_id", F.coalesce(full(F.col("mj")), full(F.col("journal")), F.lit("")).alias("journal"), F.coalesce("my", "year").alias("year"), F.coalesce(full(F.col("mt")), full(F.col("title")), "filename", F.lit("")).alias("title"))
 
 
 @query("prj17_file_name", r"SELECT record_id, concat_ws('-', coalesce(CAST(year AS VARCHAR), 'nd'), coalesce(nullif(left(trim(regexp_replace(regexp_replace(lower(journal), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 40), ''), 'unknown')) || '--' || left(sha256(coalesce(doi, '')), 12) AS stem FROM paper_metadata")
@@ -219,8 +234,8 @@ def snk5(spark, sf):
 
 @query("str26_title_similarity")
 def str26(spark, sf):
-    q = table(spark, sf, "paper_request").filter("doi like '10.%' and title is not null").select("request_id", F.lower("doi").alias("d"), F.col("title").alias("asked"))
-    m = table(spark, sf, "paper_metadata").filter("doi like '10.%' and title is not null").select("record_id", F.lower("doi").alias("d"), "title")
+    q = table(spark, sf, "paper_request").filter("title is not null").select("request_id", I.normalize_doi(F.col("doi")).alias("d"), F.col("title").alias("asked"))
+    m = table(spark, sf, "paper_metadata").filter("title is not null").select("record_id", I.normalize_doi(F.col("doi")).alias("d"), "title")
     return q.join(m, "d").select("request_id", "record_id", F.round(T.similarity(F.lower("asked"), F.lower("title")), 6).alias("similarity"))
 
 

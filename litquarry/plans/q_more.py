@@ -11,6 +11,7 @@ from litquarry.functions.pdftext import extract_pdf_dois, may_hold_doi
 from litquarry.operators import aggregates as A
 from litquarry.operators import evidence as V
 from litquarry.operators.windows import carry, islands
+from litquarry.plans.q_functions import NORMAL_DOI
 from litquarry.plans.registry import query
 from litquarry.session import table
 
@@ -52,13 +53,13 @@ def jn16(spark, sf):
     return V.keep_greedily(h, "artifact_id", "page", "blocks", "score").select("artifact_id", "page", "kept")
 
 
-@query("jn17_all_covered", "WITH c AS (SELECT hit_id, artifact_id, page, bbox FROM search_hit WHERE bbox IS NOT NULL), a AS (SELECT * FROM c WHERE hit_id % 2 = 0), p AS (SELECT * FROM c WHERE hit_id % 2 = 1) SELECT artifact_id, page FROM a GROUP BY artifact_id, page HAVING bool_and(EXISTS (SELECT 1 FROM p WHERE p.artifact_id = a.artifact_id AND p.page = a.page AND greatest(least(p.bbox.x1, a.bbox.x1) - greatest(p.bbox.x0, a.bbox.x0), 0) * greatest(least(p.bbox.y1, a.bbox.y1) - greatest(p.bbox.y0, a.bbox.y0), 0) >= 0.5 * (greatest(a.bbox.x1 - a.bbox.x0, 0) * greatest(a.bbox.y1 - a.bbox.y0, 0))))")
+@query("jn17_all_covered", "WITH c AS (SELECT hit_id, artifact_id, page, kind, bbox FROM search_hit WHERE bbox IS NOT NULL), a AS (SELECT * FROM c WHERE kind IN ('equation', 'other', 'reference')), p AS (SELECT * FROM c WHERE kind NOT IN ('equation', 'other', 'reference')) SELECT artifact_id, page FROM a GROUP BY artifact_id, page HAVING bool_and(EXISTS (SELECT 1 FROM p WHERE p.artifact_id = a.artifact_id AND p.page = a.page AND greatest(least(p.bbox.x1, a.bbox.x1) - greatest(p.bbox.x0, a.bbox.x0), 0) * greatest(least(p.bbox.y1, a.bbox.y1) - greatest(p.bbox.y0, a.bbox.y0), 0) >= 0.5 * (greatest(a.bbox.x1 - a.bbox.x0, 0) * greatest(a.bbox.y1 - a.bbox.y0, 0))))")
 def jn17(spark, sf):
     from litquarry.operators.joins import box_join
 
-    c = table(spark, sf, "search_hit").filter("bbox is not null").select("hit_id", "artifact_id", "page", "bbox")
-    a = c.filter("hit_id % 2 = 0")
-    covered = box_join(c.filter("hit_id % 2 = 1").select("artifact_id", "page", F.col("bbox").alias("ob")), a.select("artifact_id", "page", "hit_id", F.col("bbox").alias("ib")), ["artifact_id", "page"], "ob", "ib", 0.5).select("hit_id").distinct().withColumn("c", F.lit(1))
+    c = table(spark, sf, "search_hit").filter("bbox is not null").select("hit_id", "artifact_id", "page", "kind", "bbox")
+    a = c.filter("kind in ('equation', 'other', 'reference')")
+    covered = box_join(c.filter("kind not in ('equation', 'other', 'reference')").select("artifact_id", "page", F.col("bbox").alias("ob")), a.select("artifact_id", "page", "hit_id", F.col("bbox").alias("ib")), ["artifact_id", "page"], "ob", "ib", 0.5).select("hit_id").distinct().withColumn("c", F.lit(1))
     return a.join(covered, "hit_id", "left").groupBy("artifact_id", "page").agg(F.every(F.col("c").isNotNull()).alias("whole")).filter("whole").select("artifact_id", "page")
 
 
@@ -140,10 +141,10 @@ def set6(spark, sf):
     return table(spark, sf, "search_hit").groupBy("artifact_id").agg((F.size(F.array_except(F.collect_set("kind"), allowed)) == 0).alias("subset"))
 
 
-@query("cls4_caption", r"SELECT hit_id, lower(regexp_extract(text, '^((?i)fig|table|scheme)', 1)) AS kind, regexp_extract(text, '^(?i)(?:fig(?:ure)?\.?|table|scheme)\s*([0-9]+)', 1) AS label FROM search_hit WHERE regexp_matches(text, '^(?i)(?:fig(?:ure)?\.?|table|scheme)\s*[0-9]+[.:]\s') AND length(text) <= 400")
+@query("cls4_caption", r"SELECT hit_id, lower(regexp_extract(text, '^((?i)fig|table|scheme)', 1)) AS kind, regexp_extract(text, '^(?i)(?:fig(?:ure)?\.?|table|scheme)\s*([0-9]+)', 1) AS label FROM search_hit WHERE regexp_matches(text, '^(?i)(?:fig(?:ure)?\.?|table|scheme)\s*[0-9]+[.:]\s')")
 def cls4(spark, sf):
     t = F.col("text")
-    h = table(spark, sf, "search_hit").filter(t.rlike(r"^(?i:fig(?:ure)?\.?|table|scheme)\s*[0-9]+[.:]\s") & (F.length(t) <= 400))
+    h = table(spark, sf, "search_hit").filter(t.rlike(r"^(?i:fig(?:ure)?\.?|table|scheme)\s*[0-9]+[.:]\s"))
     return h.select("hit_id", F.lower(F.regexp_extract(t, r"^((?i:fig|table|scheme))", 1)).alias("kind"), F.regexp_extract(t, r"^(?i:fig(?:ure)?\.?|table|scheme)\s*([0-9]+)", 1).alias("label"))
 
 
@@ -212,10 +213,14 @@ def x1(spark, sf):
     return q.join(m, "d", "left").select("request_id", F.when(F.col("d").isNull(), "INVALID_DOI").when(F.col("record_id").isNull(), "NOT_FOUND").otherwise("SUCCESS").alias("status"))
 
 
-@query("x21_conflicting_fields", "WITH q AS (SELECT request_id, lower(doi) AS d, year, volume FROM paper_request WHERE doi LIKE '10.%'), m AS (SELECT lower(doi) AS d, min(year) AS my, min(volume) AS mv FROM paper_metadata WHERE doi LIKE '10.%' GROUP BY 1) SELECT request_id, array_to_string(list_filter([CASE WHEN year <> my THEN 'year' END, CASE WHEN volume <> mv THEN 'volume' END], lambda x: x IS NOT NULL), ',') AS conflicts FROM q JOIN m USING (d)")
+@query(
+    "x21_conflicting_fields",
+    rf"""WITH q AS (SELECT request_id, {NORMAL_DOI} AS d, year, volume FROM paper_request), m AS (SELECT {NORMAL_DOI} AS d, min(year) AS my, min(volume) AS mv FROM paper_metadata GROUP BY 1)
+    SELECT request_id, array_to_string(list_filter([CASE WHEN year <> my THEN 'year' END, CASE WHEN volume <> mv THEN 'volume' END], lambda x: x IS NOT NULL), ',') AS conflicts FROM q JOIN m USING (d)""",
+)
 def x21(spark, sf):
-    q = table(spark, sf, "paper_request").filter("doi like '10.%'").select("request_id", F.lower("doi").alias("d"), "year", "volume")
-    m = table(spark, sf, "paper_metadata").filter("doi like '10.%'").groupBy(F.lower("doi").alias("d")).agg(F.min("year").alias("my"), F.min("volume").alias("mv"))
+    q = table(spark, sf, "paper_request").select("request_id", I.normalize_doi(F.col("doi")).alias("d"), "year", "volume")
+    m = table(spark, sf, "paper_metadata").groupBy(I.normalize_doi(F.col("doi")).alias("d")).agg(F.min("year").alias("my"), F.min("volume").alias("mv"))
     return q.join(m, "d").select("request_id", F.array_join(F.array_compact(F.array(F.when(F.col("year") != F.col("my"), "year"), F.when(F.col("volume") != F.col("mv"), "volume"))), ",").alias("conflicts"))
 
 

@@ -207,12 +207,20 @@ def jn7(spark, sf):
     return J.containment(q, h, "artifact_id", "quote", "text", "quote_id", "hit_id").select("quote_id", "hit_id")
 
 
-@query("jn9_adjacent_quote")
+_BOTH = "CASE WHEN regexp_matches(text, '[-‐]$') THEN regexp_replace(text, '[-‐]$', '') || nx ELSE concat_ws(' ', text, nx) END"
+
+
+@query(
+    "jn9_adjacent_quote",
+    f"""WITH f AS (SELECT artifact_id, page, fragment_id, text, lead(text) OVER (PARTITION BY artifact_id, page ORDER BY fragment_id) AS nx FROM fragment WHERE text IS NOT NULL), b AS (SELECT *, {_BOTH} AS both_texts FROM f WHERE nx IS NOT NULL),
+    q AS (SELECT DISTINCT artifact_id, substr(both_texts, greatest(length(text) - 14, 1), 30) AS quote FROM b) SELECT DISTINCT artifact_id, fragment_id, quote FROM q JOIN b USING (artifact_id) WHERE quote <> '' AND contains(both_texts, quote) AND NOT contains(text, quote) AND NOT contains(nx, quote)""",
+)
 def jn9(spark, sf):
+    """Quotes of thirty characters around the seam of every two neighbouring lines, looked for at all seams of the artifact."""
     f = table(spark, sf, "fragment").filter("text is not null").select("artifact_id", "page", "fragment_id", "text")
-    quotes = F.array(*[F.lit(q) for q in ("organic carbon. Neither", "lattice estimate. The", "beam time and")])
-    src = f.select("artifact_id").distinct().select("artifact_id", F.explode(quotes).alias("quote"))
-    return J.spanning(src, f, "artifact_id", "quote", "text", "fragment_id", "page").select("artifact_id", "fragment_id", "quote")
+    b = J.seams(f, "artifact_id", "text", "fragment_id", "page")
+    q = b.select("artifact_id", F.substring("_both", F.greatest(F.length("text") - 14, F.lit(1)), F.lit(30)).alias("quote")).filter("quote <> ''").distinct()
+    return J.spanning(q, f, "artifact_id", "quote", "text", "fragment_id", "page").select("artifact_id", "fragment_id", "quote").distinct()
 
 
 @query("jn10_box_containment", "WITH c AS (SELECT hit_id, artifact_id, page, bbox FROM search_hit WHERE bbox IS NOT NULL) SELECT o.hit_id AS outer_id, i.hit_id AS inner_id FROM c o JOIN c i ON o.artifact_id = i.artifact_id AND o.page = i.page AND o.hit_id <> i.hit_id WHERE (i.bbox.x1 - i.bbox.x0) * (i.bbox.y1 - i.bbox.y0) > 0 AND greatest(least(o.bbox.x1, i.bbox.x1) - greatest(o.bbox.x0, i.bbox.x0), 0) * greatest(least(o.bbox.y1, i.bbox.y1) - greatest(o.bbox.y0, i.bbox.y0), 0) >= 0.8 * (greatest(i.bbox.x1 - i.bbox.x0, 0) * greatest(i.bbox.y1 - i.bbox.y0, 0))")
@@ -223,15 +231,20 @@ def jn10(spark, sf):
     return J.box_join(o, i, ["artifact_id", "page"], "ob", "ib").filter("outer_id <> inner_id").select("outer_id", "inner_id")
 
 
-@query("mth4_overlap", "WITH c AS (SELECT hit_id, artifact_id, page, bbox FROM search_hit WHERE bbox IS NOT NULL) SELECT a.hit_id AS a_id, b.hit_id AS b_id, round(greatest(least(a.bbox.x1, b.bbox.x1) - greatest(a.bbox.x0, b.bbox.x0), 0) * greatest(least(a.bbox.y1, b.bbox.y1) - greatest(a.bbox.y0, b.bbox.y0), 0) / least((a.bbox.x1 - a.bbox.x0) * (a.bbox.y1 - a.bbox.y0), (b.bbox.x1 - b.bbox.x0) * (b.bbox.y1 - b.bbox.y0)), 4) AS overlap FROM c a JOIN c b ON a.artifact_id = b.artifact_id AND a.page = b.page AND a.hit_id + 1 = b.hit_id")
+@query(
+    "mth4_overlap",
+    """WITH c AS (SELECT hit_id, artifact_id, page, bbox FROM search_hit WHERE bbox IS NOT NULL), x AS (SELECT a.hit_id AS a_id, b.hit_id AS b_id, greatest(least(a.bbox.x1, b.bbox.x1) - greatest(a.bbox.x0, b.bbox.x0), 0) * greatest(least(a.bbox.y1, b.bbox.y1) - greatest(a.bbox.y0, b.bbox.y0), 0) AS n,
+    least((a.bbox.x1 - a.bbox.x0) * (a.bbox.y1 - a.bbox.y0), (b.bbox.x1 - b.bbox.x0) * (b.bbox.y1 - b.bbox.y0)) AS d FROM c a JOIN c b ON a.artifact_id = b.artifact_id AND a.page = b.page AND a.hit_id < b.hit_id) SELECT a_id, b_id, round(n / d, 4) AS overlap FROM x WHERE n > 0""",
+)
 def mth4(spark, sf):
+    """All overlapping boxes of a page."""
     h = table(spark, sf, "search_hit").filter("bbox is not null")
-    a = h.select("artifact_id", "page", F.col("hit_id").alias("a_id"), F.col("bbox").alias("a"), (F.col("hit_id") + 1).alias("b_id"))
-    b = h.select("artifact_id", "page", F.col("hit_id").alias("b_id"), F.col("bbox").alias("b"))
-    x = a.join(b, ["artifact_id", "page", "b_id"])
+    a = h.select("artifact_id", "page", F.col("hit_id").alias("a_id"), F.col("bbox").alias("a"))
+    x = J.overlapping(a, h.select("artifact_id", "page", F.col("hit_id").alias("b_id"), F.col("bbox").alias("b")), ["artifact_id", "page"], "a", "b").filter("a_id < b_id")
     return x.select("a_id", "b_id", F.round(F.try_divide(J.intersection("a", "b"), F.least(J.box_area("a"), J.box_area("b"))), 4).alias("overlap"))
 
 
+
 @query("jn13_reference_labels", r"""WITH c AS (SELECT DISTINCT artifact_id, label FROM (SELECT artifact_id, hit_id, unnest(regexp_extract_all(text, '\[([0-9]+)\]', 1)) AS label FROM search_hit WHERE kind <> 'reference')), r AS (SELECT artifact_id, regexp_extract(text, '^\[([0-9]+)\]', 1) AS label, min(hit_id) AS reference FROM search_hit WHERE kind = 'reference' AND regexp_matches(text, '^\[[0-9]+\]') GROUP BY ALL) SELECT artifact_id, label, reference, reference IS NOT NULL AS resolved FROM c LEFT JOIN r USING (artifact_id, label)""")
 def jn13(spark, sf):
     h = table(spark, sf, "search_hit")
