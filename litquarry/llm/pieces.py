@@ -60,11 +60,10 @@ def bounds(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     for a, b in parts:
         while b - a > most:
             cut = a + most
-            for back in range(min(8, most - 1)):  # not between a letter and its marks
-                c = text[cut - back]
-                if not unicodedata.combining(c) and c not in "‍️":
-                    cut -= back
-                    break
+            back = cut  # not between a letter and its marks, unless they alone fill a part
+            while back > a and (unicodedata.combining(text[back]) or text[back] in "‍️"):
+                back -= 1
+            cut = back if back > a else cut
             ends.append(cut)
             a = cut
         ends.append(b)

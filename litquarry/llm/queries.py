@@ -34,6 +34,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return unify.lookalike_pairs(_looked_at(spark, sf))
 
 
+@query("p1_classes")
+def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that look like differently stored ones, one row each with its class."""
+    return unify.lookalike_classes(_looked_at(spark, sf))
+
+
 @query("p1_unified")
 def p1_unified(spark: SparkSession, sf: str) -> DataFrame:
     """The consistent form of every text."""

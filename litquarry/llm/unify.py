@@ -32,8 +32,13 @@ SIZE = 0x110000
 RUN_BYTES = 1 << 19
 FOLDED_TAGS = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>"}
 # Characters drawn like another one, in the order of the plain letters.
-LATIN_CYRILLIC = ("ABCEHIJKMOPSTXYaceijopsxyh", "АВСЕНІЈКМОРЅТХУасеіјорѕхуһ")
+LATIN_CYRILLIC = ("ABCEHIJKMOPSTXYaceijopsxyhdqwvlGQWVY", "АВСЕНІЈКМОРЅТХУасеіјорѕхуһԁԛԝѵӏԌԚԜѴҮ")
 LATIN_GREEK = ("ABEHIKMNOPTXYZov", "ΑΒΕΗΙΚΜΝΟΡΤΧΥΖον")
+# Drawn like Latin letters in other blocks (phonetic, Armenian, Cherokee, Lisu), in the order of the plain letters; read as Latin in texts that hold Latin letters.
+LATIN_OTHER = (
+    "gogOUADEGHJKLMPRSTVWZbABCDEFGHIJKLMNOPRSTUVWXYZ",
+    "ɡօցՕՍᎪᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃᏏꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ",
+)
 HYPHENS = "‐‑"
 # Visible although their decomposition is of a folded kind.
 KEPT = "ſ"
@@ -103,9 +108,11 @@ def tables() -> SimpleNamespace:
         for a, b in zip(plain, like):
             folded[ord(b)], back[n][ord(a)] = ord(a), ord(b)
             script[ord(a)] = script[ord(b)] = 0
+    other = np.arange(SIZE, dtype=np.int32)
+    other[[ord(c) for c in LATIN_OTHER[1]]] = [ord(c) for c in LATIN_OTHER[0]]
     keys = np.array([(a << 21) | b for a, b in pairs], dtype=np.int64)
     order = np.argsort(keys)
-    return SimpleNamespace(drop=drop, ccc=ccc, length=length, start=start, pool=np.array(pool, dtype=np.int64), folded=folded, script=script, back=back, letter=letter, width=width, keys=keys[order], made=np.array(list(pairs.values()), dtype=np.int64)[order])
+    return SimpleNamespace(drop=drop, ccc=ccc, length=length, start=start, pool=np.array(pool, dtype=np.int64), folded=folded, other=other, script=script, back=back, letter=letter, width=width, keys=keys[order], made=np.array(list(pairs.values()), dtype=np.int64)[order])
 
 
 def compose(cp: np.ndarray, row: np.ndarray, t: SimpleNamespace) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +158,10 @@ def compose(cp: np.ndarray, row: np.ndarray, t: SimpleNamespace) -> tuple[np.nda
 
 def by_script(cp: np.ndarray, row: np.ndarray, rows: int, t: SimpleNamespace) -> np.ndarray:
     """Gives look-alike letters the script of their word."""
+    strange = t.other[cp] != cp
+    if strange.any():
+        latin = np.bincount(row, weights=(cp < 128) & t.letter[cp], minlength=rows) > 0
+        cp = np.where(strange & latin[row], t.other[cp], cp)
     script = t.script[cp]
     if not ((t.folded[cp] != cp) | (script > 1)).any():
         return cp
@@ -243,21 +254,35 @@ def unify_text(df: DataFrame, text_col: str, out_col: str = "unified") -> DataFr
     return df.withColumn(out_col, unified(F.col(text_col)))
 
 
-def lookalike_pairs(texts: DataFrame, salts: int = 16) -> DataFrame:
+def lookalike_keys(texts: DataFrame) -> DataFrame:
+    """``src_table, id, key, form`` of rows (``src_table, id, text``) whose key has several stored forms; key and form are hashes of 16 bytes, made before anything is shuffled."""
+    base = unify_text(texts.filter("text is not null and text <> ''"), "text").select("src_table", "id", F.md5("unified").alias("key"), F.md5("text").alias("form"))
+    base = written(base)  # read several times; the narrow hashes are written once instead of unifying the texts again
+    several = base.groupBy("src_table", "key").agg(F.min("form").alias("low"), F.max("form").alias("high")).filter("low <> high").select("src_table", "key")
+    return base.join(several, ["src_table", "key"], "left_semi")
+
+
+def lookalike_classes(texts: DataFrame) -> DataFrame:
+    """``src_table, id, class_id, forms``: every row that looks like a differently stored one, with the least id of its class and the number of stored forms; copies are not paired."""
+    rows = lookalike_keys(texts)
+    classes = rows.groupBy("src_table", "key").agg(F.min("id").alias("class_id"), F.count_distinct("form").alias("forms"))
+    return rows.join(classes, ["src_table", "key"]).select("src_table", "id", "class_id", "forms")
+
+
+def lookalike_pairs(texts: DataFrame, hot: int = 5_000, salts: int = 16) -> DataFrame:
     """``src_table, id_a, id_b`` of rows (``src_table, id, text``) whose texts look the same and are stored differently.
 
-    Keys and stored forms are hashed to 16 bytes before anything is shuffled. Keys with a single stored form are dropped by a
-    map-side combined min/max, so copies never meet; forms of one key are then paired form by form, and rows are attached to
-    both ends, with the second end salted, so the work follows the number of result rows and no key is held by one task.
+    Keys with a single stored form are dropped by a map-side combined min/max, so copies never meet; forms of one key are then paired
+    form by form, and rows are attached to both ends. A form with more than ``hot`` rows is salted at the second end, so the work follows the
+    number of result rows and no form is held by one task.
     """
-    base = unify_text(texts.filter("text is not null and text <> ''"), "text").select("src_table", "id", F.md5("unified").alias("key"), F.md5("text").alias("form"))
-    # Read three times below; the narrow hashes are written once instead of unifying the texts again.
-    base = written(base)
-    several = base.groupBy("src_table", "key").agg(F.min("form").alias("low"), F.max("form").alias("high")).filter("low <> high").select("src_table", "key")
-    rows = base.join(several, ["src_table", "key"], "left_semi")
-    forms = rows.select("src_table", "key", "form").distinct()
-    pairs = forms.withColumnRenamed("form", "form_a").join(forms.withColumnRenamed("form", "form_b"), ["src_table", "key"]).filter("form_a < form_b")
-    left = rows.select("src_table", "key", F.col("form").alias("form_a"), F.col("id").alias("x"))
-    right = rows.select("src_table", "key", F.col("form").alias("form_b"), F.col("id").alias("y"), F.pmod(F.hash("id"), F.lit(salts)).alias("salt"))
-    ends = pairs.join(left, ["src_table", "key", "form_a"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return ends.join(right, ["src_table", "key", "form_b", "salt"]).select("src_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    rows = lookalike_keys(texts)
+    on = ["src_table", "key"]
+    forms = rows.groupBy(*on, "form").agg(F.count("*").alias("n"))
+    pairs = forms.select(*on, F.col("form").alias("form_a")).join(forms.select(*on, F.col("form").alias("form_b"), "n"), on).filter("form_a < form_b")
+    left = rows.select(*on, F.col("form").alias("form_a"), F.col("id").alias("x"))
+    crowded = forms.filter(F.col("n") > hot).select(*on, F.col("form").alias("form_b"), F.lit(True).alias("crowded"))  # a few: each has many rows
+    right = rows.select(*on, F.col("form").alias("form_b"), F.col("id").alias("y")).join(crowded, [*on, "form_b"], "left")
+    right = right.withColumn("salt", F.when(F.col("crowded"), F.pmod(F.hash("y"), F.lit(salts))).otherwise(0)).drop("crowded")
+    ends = pairs.join(left, [*on, "form_a"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > hot, salts - 1).otherwise(0))))
+    return ends.join(right, [*on, "form_b", "salt"]).select("src_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -11,7 +11,7 @@ from litquarry.llm import pages, pieces, scans, tokens, unify
 one = lambda s: unify.unify_arrow(pa.array([s], type=pa.string()))[0].as_py()
 
 
-@pytest.mark.parametrize("a, b", [("ﬁlm", "film"), ("Ａ１％", "A1%"), ("é", "é"), ("bοron", "boron"), ("⽔", "水"), ("a​b", "ab"), ("x y", "x y"), ("re‑do", "re-do"), ("한", "한"), ("сова", "сова")])
+@pytest.mark.parametrize("a, b", [("ﬁlm", "film"), ("Ａ１％", "A1%"), ("é", "é"), ("bοron", "boron"), ("⽔", "水"), ("a​b", "ab"), ("x y", "x y"), ("re‑do", "re-do"), ("한", "한"), ("сова", "сова"), ("ԁata", "data"), ("ɡas", "gas"), ("Ԝater", "Water"), ("ꓢtudy", "Study"), ("Ꭺlkali", "Alkali"), ("mօde", "mode")])
 def test_looks_the_same(a, b):
     assert one(a) == one(b)
 
@@ -53,6 +53,22 @@ def test_pieces_cover_and_overlap(text, limit, overlap):
     assert all(s2 == e1 - lap and e2 > e1 for (_, e1), (s2, e2) in zip(b, b[1:]))
 
 
+def test_letters_keep_their_marks():
+    text = "ab" + "e" + "\u0301" * 30 + "cd" * 20
+    for limit in (34, 36, 40):
+        assert all(not unicodedata.combining(text[a]) for a, _ in pieces.bounds(text, limit, 0))
+    assert all(0 < b - a <= 8 for a, b in pieces.bounds("\u0301" * 50, 8, 2))
+
+
+def test_crowded_forms_and_classes(spark):
+    rows = [("t", k, "ﬁlm" if k < 40 else "film") for k in range(45)] + [("t", 100, "other")]
+    df = spark.createDataFrame(rows, "src_table string, id long, text string")
+    want = sorted(("t", a, b) for a in range(40) for b in range(40, 45))
+    assert sorted(map(tuple, unify.lookalike_pairs(df, hot=10, salts=4).collect())) == sorted(map(tuple, unify.lookalike_pairs(df).collect())) == want
+    assert sorted(map(tuple, unify.lookalike_classes(df).collect())) == [("t", k, 0, 2) for k in range(45)]
+    assert unify.lookalike_classes(df.limit(0)).count() == 0
+
+
 def test_pieces_prefer_natural_ends(spark):
     assert [x for x in pieces.bounds("One two. Three four five. Six.", 17, 0)] == [(0, 9), (9, 26), (26, 30)]
     df = spark.createDataFrame([(1, "a b c d", 3, 1), (2, None, 3, 1), (3, "", 3, 1), (4, "ab", None, None), (4, "ab", 9, 1), (5, "abc", 0, 0)], "id long, t string, m int, o int").selectExpr("*", "'x' as piece")
