@@ -648,11 +648,28 @@ def repair_hits(hits: DataFrame, lex: Lexicon) -> DataFrame:
     return hits.select("hit_id", repaired("text").alias("repaired"))
 
 
+def paragraph_owners(pages: DataFrame) -> DataFrame:
+    """For every page (``artifact_id, page, last_no``) the page at or before it on which its last paragraph begins, and that paragraph's number.
+
+    Pages on which none begins point to the one before; pointers are doubled until all have arrived, so long runs take few joins and no
+    artifact is gathered in one task.
+    """
+    begins = F.col("last_no") > 0
+    p = written(pages.select("artifact_id", "page", F.when(begins, F.col("page")).otherwise(F.col("page") - 1).alias("owner"), F.when(begins, F.col("last_no")).alias("owner_no")))
+    while p.filter("owner_no is null").limit(1).count():
+        step = p.select("artifact_id", F.col("page").alias("owner"), F.col("owner").alias("_o"), F.col("owner_no").alias("_n"))
+        ahead = p.filter("owner_no is null").join(step, ["artifact_id", "owner"], "left")
+        # A page without a predecessor keeps its own lines.
+        ahead = ahead.select("artifact_id", "page", F.coalesce("_o", "page").alias("owner"), F.when(F.col("_o").isNull(), 0).otherwise(F.col("_n")).alias("owner_no"))
+        p = written(p.filter("owner_no is not null").unionByName(ahead))
+    return p
+
+
 def repair_fragments(fragments: DataFrame, lex: Lexicon) -> DataFrame:
     """``artifact_id, page, paragraph_no, text``: the paragraphs of every artifact in reading order, named by the page they begin on.
 
     A paragraph begins at an indented line, a heading, after a heading, or at the top of a page whose predecessor is not there; a
-    page's opening lines without such a beginning belong to the last paragraph of the page before.
+    page's opening lines without such a beginning belong to the last paragraph of the nearest earlier page on which one begins.
     """
     get = _shared(fragments.sparkSession, lex)
     lines = fragment_lines(fragments).filter("not furniture")
@@ -660,10 +677,12 @@ def repair_fragments(fragments: DataFrame, lex: Lexicon) -> DataFrame:
     begins = (F.col("x") - F.col("left_edge") > 6) | F.col("bold") | F.coalesce("prev_bold", F.lit(False))
     lines = lines.withColumn("begins", begins.cast("int")).withColumn("line_no", F.row_number().over(w))
     lines = lines.withColumn("begins", F.when((F.col("line_no") == 1) & F.col("before").isNull(), 1).otherwise(F.col("begins"))).withColumn("no", F.sum("begins").over(w))
-    last = lines.groupBy("artifact_id", "page").agg(F.max("no").alias("prev_no")).select("artifact_id", (F.col("page") + 1).alias("page"), "prev_no")
-    lines = lines.join(last, ["artifact_id", "page"], "left")
-    carried = (F.col("no") == 0) & (F.coalesce("prev_no", F.lit(0)) > 0)
-    lines = lines.withColumn("p", F.when(carried, F.col("page") - 1).otherwise(F.col("page"))).withColumn("n", F.when(carried, F.col("prev_no")).otherwise(F.col("no")))
+    lines = written(lines)
+    owner = paragraph_owners(lines.groupBy("artifact_id", "page").agg(F.max("no").alias("last_no")))
+    # The lines before a page's first beginning go on from the last paragraph of the nearest earlier page on which one begins.
+    lines = lines.join(owner.select("artifact_id", (F.col("page") + 1).alias("page"), "owner", "owner_no"), ["artifact_id", "page"], "left")
+    carried = (F.col("no") == 0) & F.col("owner").isNotNull()
+    lines = lines.withColumn("p", F.when(carried, F.col("owner")).otherwise(F.col("page"))).withColumn("n", F.when(carried, F.col("owner_no")).otherwise(F.col("no")))
     groups = lines.groupBy("artifact_id", F.col("p").alias("page"), F.col("n").alias("paragraph_no")).agg(F.sort_array(F.collect_list(F.struct(F.col("page").alias("pg"), "line_no", "text"))).alias("ls"))
 
     @F.pandas_udf("string")

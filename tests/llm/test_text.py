@@ -168,6 +168,20 @@ def test_furniture_of_fragments(spark):
     assert got == [501, 502, 503, 504, 601, 602, 603, 604]
 
 
+def test_paragraphs_over_many_pages(spark):
+    rows, n = [], 0
+    for page in range(1, 6):
+        for k in range(4):
+            n += 1
+            x = 62.0 if (page, k) in ((1, 0), (5, 2)) else 50.0
+            rows.append((n, "a", page, f"{chr(96 + page)}{chr(97 + k)} text goes on", x, 700.0 - 20 * k, 10.0, False))
+    f = spark.createDataFrame(rows, "fragment_id long, artifact_id string, page int, text string, x double, y double, font_size double, bold boolean")
+    got = {(r["page"], r["paragraph_no"]): r["text"] for r in scans.repair_fragments(f, LEX).collect()}
+    whole = " ".join(r[3] for r in rows)
+    cut = whole.index("ec text")
+    assert got == {(1, 1): whole[:cut].strip(), (5, 1): whole[cut:]}
+
+
 def test_breaks_and_furniture():
     assert scans.broken("of the mea-", "sured water") and scans.broken("Tarnów-", "Dolny") and not scans.broken("the pre-", "and post-test") and not scans.broken("x -", "y") and not scans.broken("", "a")
     lines = ["The water was mea-", "– 12 –", "sured twice in the old mesh of", "Acta Ionica, Vol. 12", "the plant."]
