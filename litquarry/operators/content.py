@@ -136,21 +136,14 @@ def numeric_rows(cells: DataFrame, key: str, least: int = 2) -> DataFrame:
 
 
 def union_area(boxes: DataFrame, key: list[str], box: str) -> DataFrame:
-    """Area covered by the rectangles of each key, by a sweep over x; a key is a page."""
-
-    def area(f: pd.DataFrame) -> pd.DataFrame:
-        xs = sorted({*f["x0"], *f["x1"]})
-        total = 0.0
-        for a, b in zip(xs, xs[1:]):
-            spans = sorted((r.y0, r.y1) for r in f.itertuples() if r.x0 <= a and r.x1 >= b and r.y1 > r.y0)
-            end = float("-inf")
-            for y0, y1 in spans:
-                total += (b - a) * max(0.0, y1 - max(y0, end))
-                end = max(end, y1)
-        return pd.DataFrame([[*(f[k].iloc[0] for k in key), total]], columns=[*key, "area"])
-
-    kinds = ", ".join(f"`{k}` {boxes.schema[k].dataType.simpleString()}" for k in key)
-    return boxes.filter(F.col(box).isNotNull()).select(*key, f"{box}.x0", f"{box}.y0", f"{box}.x1", f"{box}.y1").groupBy(*key).applyInPandas(area, f"{kinds}, area double")
+    """Area covered by the rectangles of each key (a page): the page is cut at every edge into slabs, and in each slab the heights of its rectangles are merged."""
+    x = boxes.filter(F.col(box).isNotNull()).select(*key, *[F.col(f"{box}.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    w = Window.partitionBy(*key).orderBy("a")
+    slabs = x.select(*key, F.explode(F.array("x0", "x1")).alias("a")).distinct().withColumn("b", F.lead("a").over(w)).filter("b is not null")
+    spans = slabs.join(x.filter("y1 > y0"), key).filter((F.col("x0") <= F.col("a")) & (F.col("x1") >= F.col("b")))
+    inner = Window.partitionBy(*key, "a").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_end", F.max("y1").over(inner)).withColumn("_new", F.greatest(F.lit(0.0), F.col("y1") - F.greatest("y0", "_end")))
+    return x.select(*key).distinct().join(spans.groupBy(*key).agg(F.sum((F.col("b") - F.col("a")) * F.col("_new")).alias("area")), key, "left").na.fill(0.0, ["area"])
 
 
 def title_in_lead(title: Column, lead: Column) -> Column:

@@ -79,7 +79,12 @@ def agg21(spark, sf):
     return K.numeric_rows(K.table_cells(table(spark, sf, "search_hit"), "hit_id", "text"), "hit_id")
 
 
-@query("mth5_union_area")
+@query(
+    "mth5_union_area",
+    """WITH x AS (SELECT artifact_id, page, bbox.x0 AS x0, bbox.y0 AS y0, bbox.x1 AS x1, bbox.y1 AS y1 FROM search_hit WHERE bbox IS NOT NULL), e AS (SELECT DISTINCT artifact_id, page, unnest([x0, x1]) AS a FROM x), s AS (SELECT artifact_id, page, a, lead(a) OVER (PARTITION BY artifact_id, page ORDER BY a) AS b FROM e),
+    p AS (SELECT s.artifact_id, s.page, a, b, y0, y1, max(y1) OVER (PARTITION BY s.artifact_id, s.page, a ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM s JOIN x ON s.artifact_id = x.artifact_id AND s.page = x.page AND x0 <= a AND x1 >= b AND y1 > y0 WHERE b IS NOT NULL)
+    SELECT artifact_id, page, round(coalesce(sum((b - a) * greatest(0.0, y1 - greatest(y0, coalesce(e, y0)))), 0), 6) AS area FROM (SELECT DISTINCT artifact_id, page FROM x) LEFT JOIN p USING (artifact_id, page) GROUP BY 1, 2""",
+)
 def mth5(spark, sf):
     return K.union_area(table(spark, sf, "search_hit").select("artifact_id", "page", "bbox"), ["artifact_id", "page"], "bbox").withColumn("area", F.round("area", 6))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from litquarry.functions import access as AC
 from litquarry.functions import identifiers as I
 from litquarry.functions.classify import by_precedence, gate
 from litquarry.functions.pdftext import extract_pdf_dois, may_hold_doi
@@ -12,6 +13,8 @@ from litquarry.operators import aggregates as A
 from litquarry.operators import evidence as V
 from litquarry.operators.windows import carry, islands
 from litquarry.plans.q_functions import NORMAL_DOI
+from litquarry.plans.q_relations import _any_sql
+from litquarry.plans.q_states import dealt, sql_dealt
 from litquarry.plans.registry import query
 from litquarry.session import table
 
@@ -88,7 +91,11 @@ def arr11(spark, sf):
     return p.select("l_orderkey", F.col("1").alias("c1"), F.col("2").alias("c2"), F.col("3").alias("c3"))
 
 
-@query("arr4_reading_order")
+@query(
+    "arr4_reading_order",
+    """WITH h AS (SELECT artifact_id, hit_id, section_heading AS s FROM search_hit WHERE section_heading IS NOT NULL), a AS (SELECT artifact_id, min(hit_id) FILTER (WHERE s = 'Introduction') AS p FROM h GROUP BY 1),
+    b AS (SELECT artifact_id, min(hit_id) FILTER (WHERE s = 'Methods' AND hit_id > p) AS p FROM h JOIN a USING (artifact_id) GROUP BY 1) SELECT artifact_id, count(*) FILTER (WHERE s = 'Results' AND hit_id > p) > 0 AS in_order FROM h JOIN b USING (artifact_id) GROUP BY 1""",
+)
 def arr4(spark, sf):
     """Whether each page holds the headings of its artifact in order."""
     h = table(spark, sf, "search_hit").filter("section_heading is not null").groupBy("artifact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hit_id", "section_heading"))), lambda s: s["section_heading"]).alias("order"))
@@ -154,11 +161,46 @@ def cls5(spark, sf):
     return table(spark, sf, "search_hit").filter("text is not null").select("hit_id", (t.rlike(r"^\[[0-9]+\]\s") | t.rlike(r"^[\p{Lu}][\p{L}]+ [\p{Lu}]\.,.*\((?:19|20)[0-9]{2}\)")).alias("reference"))
 
 
-@query("cls13_access_challenge", "SELECT page_id, CASE WHEN contains(t, 'captcha') OR contains(t, 'human') THEN 'CAPTCHA' WHEN contains(t, 'checking your browser') OR contains(t, 'robot') THEN 'BOT' WHEN http_status = 403 OR contains(t, 'refused') THEN 'DENIED' WHEN contains(t, 'sign in to') THEN 'AUTH' ELSE 'NONE' END AS challenge FROM (SELECT page_id, http_status, lower(coalesce(text, '')) AS t FROM retrieved_page)")
+# A title, an address, a visible term and a mark of the source for every barrier, and for what only looks like one; dealt out over the pages.
+_BARRIERS = [
+    ("", "", "", ""), ("", "", "人机验证", ""), ("", "", "", "<iframe src=hcaptcha.com/captcha>"), ("security check", "", "", "<div class='g-recaptcha'>"), ("paper", "", "", "<div class='g-recaptcha'>"), ("", "", "open your authenticator app", ""),
+    ("", "", "browser verification", ""), ("", "https://h.test/?__cf_chl_x", "", ""), ("a paper", "https://h.test/?__cf_chl_x", "a long text that may well be read as what it is by anybody who comes here", ""), ("just a moment...", "", "", ""), ("", "", "unusual traffic detected", ""),
+    ("", "", "choose your institution", ""), ("a title", "", "the long story of shibboleth and of all that came of it in the libraries of the world, told again", ""), ("", "https://h.test/sso", "the long story of shibboleth and of all that came of it in the libraries of the world, told again", ""),
+    ("", "", "please log in", ""), ("login", "https://h.test/login", "", ""), ("", "https://h.test/login", "", ""), ("", "", "rent or buy", ""), ("", "", "carsi or rent or buy", ""),
+]
+_PARTS = [[b[k] for b in _BARRIERS] for k in range(4)]
+
+
+def _challenge_sql() -> str:
+    has = _any_sql
+    quote = lambda t: t.replace("'", "''")
+    parts = ", ".join(f"{sql_dealt([quote(v) for v in values], 'page_id')} AS {name}" for values, name in zip(_PARTS, ("title", "url", "visible", "html")))
+    only = lambda c, terms, room: "(" + " OR ".join(f"(starts_with({c}, '{t}') AND length({c}) <= {len(t) + room})" for t in terms) + ")"
+    widget = "(" + " OR ".join(f"contains(html, 'class=' || {q} || '{w}')" for w in AC.CAPTCHA_WIDGET for q in ("chr(34)", "chr(39)")) + ")"
+    several = " + ".join(f"CAST(contains(x, '{t}') AS INT)" for t in AC.SSO)
+    login, auth, pay = has("url", AC.LOGIN_URL), has("x", AC.AUTH), has("x", AC.ENTITLEMENT)
+    readable = f"(ends_with(title, '.pdf') OR (title <> '' AND length(visible) > {AC.READABLE} AND NOT ({has('x', AC.BOT)})))"
+    return (
+        f"WITH p AS (SELECT page_id, {parts} FROM retrieved_page), t AS (SELECT *, concat_ws(' ', title, url, visible) AS x, concat_ws(' ', title, url) AS head FROM p) SELECT page_id, CASE"
+        f" WHEN {has('x', AC.CAPTCHA)} OR {has('html', AC.CAPTCHA_DOM)} OR ({widget} AND {has('head', AC.CAPTCHA_SURFACE)}) THEN 'CAPTCHA' WHEN {has('x', AC.MFA)} THEN 'MFA'"
+        f" WHEN {has('x', AC.BOT)} OR ({has('url', AC.BOT_URL)} AND NOT {readable}) OR title IN ('just a moment', 'just a moment...') THEN 'BOT_CHALLENGE' WHEN {has('x', AC.DENIED)} THEN 'ACCESS_DENIED'"
+        f" WHEN {has('x', AC.SSO)} AND ({login} OR {pay} OR {auth} OR {only('title', AC.SSO_TITLES, AC.TITLE_ROOM)} OR {only('visible', AC.SSO, AC.TEXT_ROOM)} OR {several} >= 2) THEN 'SSO'"
+        f" WHEN {auth} OR ({login} AND ({has('title', AC.AUTH_TITLES)} OR {has('x', AC.AUTH_METHODS)})) THEN 'AUTHENTICATION' WHEN {pay} THEN 'ENTITLEMENT' ELSE 'NONE' END AS challenge FROM t"
+    )
+
+
+@query("cls13_access_challenge", _challenge_sql())
 def cls13(spark, sf):
-    t = F.lower(F.coalesce("text", F.lit("")))
-    has = lambda s: t.contains(s)
-    return table(spark, sf, "retrieved_page").select("page_id", F.when(has("captcha") | has("human"), "CAPTCHA").when(has("checking your browser") | has("robot"), "BOT").when((F.col("http_status") == 403) | has("refused"), "DENIED").when(has("sign in to"), "AUTH").otherwise("NONE").alias("challenge"))
+    parts = [dealt(values, F.col("page_id")) for values in _PARTS]
+    return table(spark, sf, "retrieved_page").select("page_id", AC.access_challenge(*parts).alias("challenge"))
+
+
+@query("cls13_pages")
+def cls13_pages(spark, sf):
+    """The barriers of the pages as they are."""
+    p = table(spark, sf, "retrieved_page").join(table(spark, sf, "parsed_html").select("page_id", "title", "visible_text"), "page_id", "left")
+    low = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
+    return p.select("page_id", AC.access_challenge(low("title"), low("final_url"), low("visible_text"), low("text")).alias("challenge"))
 
 
 @query("cls16_exclusive_outcome", "SELECT requested_url, bool_and(http_status IN (401, 402, 403)) AS all_barriers FROM retrieved_page GROUP BY 1")

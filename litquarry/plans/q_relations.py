@@ -12,6 +12,8 @@ from litquarry.operators import joins as J
 from litquarry.operators import search as S
 from litquarry.operators import versions as V
 from litquarry.operators import windows as W
+from litquarry.functions import access as AC
+from litquarry.plans.q_states import dealt, sql_dealt
 from litquarry.plans.registry import query
 from litquarry.session import table
 
@@ -130,7 +132,10 @@ def search_exact(spark, sf):
     return _documents_search(spark, sf, "dissolved organic carbon", exact=True)
 
 
-@query("search_numeric")
+@query(
+    "search_numeric",
+    rf"SELECT doc_id, round(2 + 1 + 1 / CAST(length(v) AS DOUBLE), 6) AS score FROM (SELECT doc_id, {VIEW_SQL} AS v FROM documents) WHERE regexp_matches(v, '(^|[^0-9.])95%($|[^0-9.]|\.($|[^0-9]))')",
+)
 def search_numeric(spark, sf):
     """A number matches whole magnitudes only."""
     return _documents_search(spark, sf, "95 %".replace(" ", ""), "or")
@@ -146,6 +151,21 @@ def srt2(spark, sf):
     return S.top(_documents_search(spark, sf, "water splitting", "or"), 50, [F.desc("score"), F.col("doc_id")]).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query(
+    "srt2_corpus_hits",
+    f"""WITH h AS (SELECT doc_id, score, coalesce(artifact_id, '') AS title, md5(text) AS h, coalesce(section, '') AS section FROM ({_score_sql(['water', 'splitting'], 'or')}) JOIN documents USING (doc_id)), r AS (SELECT *, min(doc_id) OVER (PARTITION BY h) <> doc_id AS repeated FROM h)
+    SELECT doc_id, repeated, score, row_number() OVER (ORDER BY repeated, score DESC, title, h, section, doc_id) AS rank FROM r QUALIFY rank <= 100""",
+)
+def srt2_corpus(spark, sf):
+    """Hits in the order of a corpus: repeated readings last, then score, title, file, place and id."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.coalesce("artifact_id", F.lit("")).alias("title"), F.coalesce("section", F.lit("")).alias("section"))
+    hits = S.search(d, "text", "water splitting", "or", full=False).withColumn("h", F.md5("text")).drop("text")
+    first = hits.groupBy("h").agg(F.min("doc_id").alias("first"))
+    hits = hits.join(first, "h").withColumn("repeated", F.col("doc_id") != F.col("first"))
+    order = [F.col("repeated"), F.desc("score"), F.col("title"), F.col("h"), F.col("section"), F.col("doc_id")]
+    return S.top(hits, 100, order).select("doc_id", "repeated", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("srt8_search_page", f"SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_score_sql(['water', 'splitting'], 'or')}) QUALIFY rank > 40 AND rank <= 60")
 def srt8(spark, sf):
     return S.top(_documents_search(spark, sf, "water splitting", "or"), 20, [F.desc("score"), F.col("doc_id")], offset=40).withColumn("rank", F.col("rank").cast("bigint"))
@@ -484,16 +504,25 @@ def set7(spark, sf):
 
 # --- classification ---------------------------------------------------------------------------------------------------------
 
-CHALLENGE = "verify you are human|verifying that you are human|captcha|checking your browser|robot check|security check"
-DENIED = "access denied|request blocked|forbidden|do not have permission|was refused"
+def _any_sql(text: str, terms: list[str]) -> str:
+    quoted = ", ".join("'" + t.replace("'", "''") + "'" for t in terms)
+    return f"len(list_filter([{quoted}], lambda t: contains({text}, t))) > 0"
+
+
+# Terms are dealt out over the pages so that every type is met.
+_TYPE_TERMS = ["", AC.PAGE_CHALLENGE[0], AC.PAGE_DENIED[3], AC.PAGE_LOGIN[4], AC.PAGE_WEAK_LOGIN[1], ""]
 
 
-@query("cls12_page_type", f"SELECT page_id, CASE WHEN regexp_matches(t, '{CHALLENGE}') THEN 'CHALLENGE' WHEN regexp_matches(t, '{DENIED}') THEN 'ACCESS_DENIED' WHEN regexp_matches(t, 'sign in to access|log in to access|purchase article|subscribe to read') THEN 'LOGIN' WHEN list_has_any(list_transform(metadata, lambda m: m.name), ['citation_title', 'citation_doi']) THEN 'ARTICLE' WHEN regexp_matches(t, 'institutional access|get access') THEN 'LOGIN' WHEN trim(t) <> '' THEN 'GENERIC' ELSE 'UNKNOWN' END AS page_type FROM (SELECT page_id, coalesce(metadata, []) AS metadata, lower(coalesce(title, '') || ' ' || coalesce(visible_text, '')) AS t FROM parsed_html)")
+@query(
+    "cls12_page_type",
+    f"""WITH p AS (SELECT page_id, lower(concat_ws(' ', title, CASE WHEN page_id % 11 = 0 THEN '' ELSE visible_text END, {sql_dealt([t.replace("'", "''") for t in _TYPE_TERMS], 'page_id')})) AS x, page_id % 2 = 0 AND list_has_any(list_transform(metadata, lambda m: m.name), ['citation_title', 'citation_doi']) AS scholarly FROM parsed_html)
+    SELECT page_id, CASE WHEN {_any_sql('x', AC.PAGE_CHALLENGE)} THEN 'CHALLENGE' WHEN {_any_sql('x', AC.PAGE_DENIED)} THEN 'ACCESS_DENIED' WHEN {_any_sql('x', AC.PAGE_LOGIN)} THEN 'LOGIN' WHEN coalesce(scholarly, false) THEN 'ARTICLE' WHEN {_any_sql('x', AC.PAGE_WEAK_LOGIN)} THEN 'LOGIN' WHEN trim(x) <> '' THEN 'GENERIC' ELSE 'UNKNOWN' END AS page_type FROM p""",
+)
 def cls12(spark, sf):
-    t = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("visible_text", F.lit(""))))
-    scholarly = F.coalesce(F.exists("metadata", lambda m: m["name"].isin("citation_title", "citation_doi")), F.lit(False))
-    kind = F.when(t.rlike(CHALLENGE), "CHALLENGE").when(t.rlike(DENIED), "ACCESS_DENIED").when(t.rlike("sign in to access|log in to access|purchase article|subscribe to read"), "LOGIN").when(scholarly, "ARTICLE").when(t.rlike("institutional access|get access"), "LOGIN").when(F.trim(t) != "", "GENERIC").otherwise("UNKNOWN")
-    return table(spark, sf, "parsed_html").select("page_id", kind.alias("page_type"))
+    seen = F.when(F.col("page_id") % 11 == 0, "").otherwise(F.col("visible_text"))
+    text = F.lower(F.concat_ws(" ", "title", seen, dealt(_TYPE_TERMS, F.col("page_id"))))
+    scholarly = (F.col("page_id") % 2 == 0) & F.exists("metadata", lambda m: m["name"].isin("citation_title", "citation_doi"))
+    return table(spark, sf, "parsed_html").select("page_id", AC.page_type(text, scholarly).alias("page_type"))
 
 
 @query("cls2_heading_shape", r"SELECT hit_id, letters >= 3 AND letters >= 0.4 * n AND digits <= greatest(1, letters / 4.0) AND NOT regexp_matches(text, '[.;,]$') AND commas < 2 AND NOT regexp_matches(text, 'https?://|@') AS heading FROM (SELECT hit_id, text, length(text) AS n, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits, length(text) - length(replace(text, ',', '')) AS commas FROM search_hit WHERE text IS NOT NULL)")
