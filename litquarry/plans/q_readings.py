@@ -155,13 +155,13 @@ def x33(spark, sf):
 
 @query(
     "x37_warning_boxes",
-    "SELECT hit_id, round(greatest(0.0, least(1.0, bbox.x0 * 620 / w)), 6) AS x0, round(greatest(0.0, least(1.0, bbox.y0 * 800 / h)), 6) AS y0, round(greatest(0.0, least(1.0, bbox.x1 * 620 / w)), 6) AS x1, round(greatest(0.0, least(1.0, bbox.y1 * 800 / h)), 6) AS y1 FROM (SELECT hit_id, bbox, 590 + page % 3 * 10 AS w, 780 + page % 2 * 40 AS h FROM search_hit WHERE bbox IS NOT NULL)",
+    "SELECT hit_id, round(greatest(0.0, least(1.0, bbox.x0 * 617.3 / w)), 6) AS x0, round(greatest(0.0, least(1.0, bbox.y0 * 811.7 / h)), 6) AS y0, round(greatest(0.0, least(1.0, bbox.x1 * 617.3 / w)), 6) AS x1, round(greatest(0.0, least(1.0, bbox.y1 * 811.7 / h)), 6) AS y1 FROM (SELECT hit_id, bbox, 590 + page % 3 * 10 AS w, 780 + page % 2 * 40 AS h FROM search_hit WHERE bbox IS NOT NULL)",
 )
 def x37(spark, sf):
     """Points of pages of three widths and two heights as shares of the page, clipped to it."""
     share = lambda c, n, size: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"bbox.{c}") * n / F.col(size))), 6).alias(c)
     h = table(spark, sf, "search_hit").filter("bbox is not null").withColumn("w", 590 + F.col("page") % 3 * 10).withColumn("h", 780 + F.col("page") % 2 * 40)
-    return h.select("hit_id", share("x0", 620, "w"), share("y0", 800, "h"), share("x1", 620, "w"), share("y1", 800, "h"))
+    return h.select("hit_id", share("x0", 617.3, "w"), share("y0", 811.7, "h"), share("x1", 617.3, "w"), share("y1", 811.7, "h"))
 
 
 @query(

@@ -238,13 +238,13 @@ _TURNS = [0, 90, 180, 270]
 @query(
     "mth7_shown_box",
     """WITH b AS (SELECT hit_id, [0, 90, 180, 270][CAST(hit_id % 4 AS INT) + 1] AS r, bbox.x0 * 500 AS a, bbox.y0 * 700 AS b, bbox.x1 * 500 AS c, bbox.y1 * 700 AS d FROM search_hit WHERE bbox IS NOT NULL),
-    p AS (SELECT hit_id, CASE r WHEN 0 THEN [a - 10, b - 20, c - 10, d - 20, 600.0, 780.0] WHEN 90 THEN [b - 20, 600 - (a - 10), d - 20, 600 - (c - 10), 780.0, 600.0] WHEN 180 THEN [600 - (a - 10), 780 - (b - 20), 600 - (c - 10), 780 - (d - 20), 600.0, 780.0] ELSE [780 - (b - 20), a - 10, 780 - (d - 20), c - 10, 780.0, 600.0] END AS v FROM b)
+    p AS (SELECT hit_id, CASE r WHEN 0 THEN [a - 10, b - 20, c - 10, d - 20, 600.7, 780.3] WHEN 90 THEN [b - 20, 600.7 - (a - 10), d - 20, 600.7 - (c - 10), 780.3, 600.7] WHEN 180 THEN [600.7 - (a - 10), 780.3 - (b - 20), 600.7 - (c - 10), 780.3 - (d - 20), 600.7, 780.3] ELSE [780.3 - (b - 20), a - 10, 780.3 - (d - 20), c - 10, 780.3, 600.7] END AS v FROM b)
     SELECT hit_id, round(greatest(0.0, least(1.0, least(v[1], v[3]) / v[5])), 6) AS x0, round(greatest(0.0, least(1.0, least(v[2], v[4]) / v[6])), 6) AS y0, round(greatest(0.0, least(1.0, greatest(v[1], v[3]) / v[5])), 6) AS x1, round(greatest(0.0, least(1.0, greatest(v[2], v[4]) / v[6])), 6) AS y1 FROM p""",
 )
 def mth7(spark, sf):
     h = table(spark, sf, "search_hit").filter("bbox is not null")
     box = F.struct((F.col("bbox.x0") * 500).alias("x0"), (F.col("bbox.y0") * 700).alias("y0"), (F.col("bbox.x1") * 500).alias("x1"), (F.col("bbox.y1") * 700).alias("y1"))
-    crop = F.struct(F.lit(10.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(610.0).alias("x1"), F.lit(800.0).alias("y1"))
+    crop = F.struct(F.lit(10.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(610.7).alias("x1"), F.lit(800.3).alias("y1"))
     return h.select("hit_id", P.shown_box(box, crop, dealt(_TURNS, F.col("hit_id"))).alias("b")).select("hit_id", "b.*")
 
 

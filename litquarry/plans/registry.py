@@ -21,6 +21,6 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from litquarry.plans import q_content, q_functions, q_more, q_readings, q_relations, q_states  # noqa: F401
+    from litquarry.plans import q_content, q_functions, q_library, q_more, q_readings, q_relations, q_states  # noqa: F401
 
 
