@@ -477,12 +477,15 @@ def _shared(spark, lex: Lexicon):
     return get
 
 
+# A line end that may break a word.
+ENDS = r"[-\x{2010}\x{2011}\x{ac}\x{ad}\x{ff0d}][\s\x{a0}\x{2000}-\x{200f}\x{202f}\x{2060}\x{2063}\x{3000}\x{feff}]*$"
 # A page label, a roman or arabic number among signs, as the whole line.
 _LABEL_SQL = r"(?i)^\s*(?:[–—-]?\s*[\dOlSIBivx]{1,6}\s*[–—-]?|(?:page|seite|página|pagina|p\.?|第)\s*[\dOlSIB]{1,5}(?:\s*(?:of|von|de|sur|/|页，?共)\s*[\dOlSIB]{1,5})?\s*页?)\s*$"
 
 
 def fragment_lines(fragments: DataFrame) -> DataFrame:
-    """Distinct lines in reading order: their place, whether they are page furniture, and, for the lines of the body, the texts before and after and what tells where paragraphs begin."""
+    """Distinct lines in reading order: their place, whether they are page furniture, and, for the lines of the body, what tells where paragraphs begin and the neighbours:
+    ``before_h`` and ``after_h`` are null where there is none; ``before`` and ``after`` are texts that may share a broken word with the line."""
     filled = fragments.filter("text is not null and trim(text) <> ''")
     lines = filled.select("artifact_id", "page", (F.col("x") >= COLUMN).cast("int").alias("col"), F.col("y"), "x", "text", F.coalesce("bold", F.lit(False)).alias("bold"), "font_size").dropDuplicates(["artifact_id", "page", "x", "y", "text"])
     w = Window.partitionBy("artifact_id", "page").orderBy("col", F.desc("y"), "x", "text")  # the lines of one page
@@ -506,24 +509,34 @@ def fragment_lines(fragments: DataFrame) -> DataFrame:
     lines = lines.withColumn("sure", sure).withColumn("open", near_edge & ~F.col("sure") & (F.col("outer") | (off & F.col("leading").isNotNull()))).withColumn("side", F.col("from_top") <= F.col("from_bottom"))
     lines = lines.withColumn("own", F.when(~F.col("sure"), F.col("text")))
     over = "over (partition by artifact_id, page order by col, y desc, x, text)"
-    lines = lines.withColumn("before", F.expr(f"lag(own) ignore nulls {over}")).withColumn("after", F.expr(f"lead(own) ignore nulls {over}")).withColumn("beside", F.expr(f"lag(open) {over}") | F.expr(f"lead(open) {over}"))
+    lines = lines.withColumn("b", F.expr(f"lag(own) ignore nulls {over}")).withColumn("n", F.expr(f"lead(own) ignore nulls {over}")).withColumn("beside", F.expr(f"lag(open) {over}") | F.expr(f"lead(open) {over}"))
     lines = lines.withColumn("left_edge", F.min(F.when(~F.col("sure"), F.col("x"))).over(pageful)).withColumn("prev_bold", F.expr(f"lag(if(sure, null, bold)) ignore nulls {over}"))
-    lines = written(lines.select("artifact_id", "page", "col", "y", "x", "text", "bold", "font_size", F.col("sure").alias("furniture"), "open", F.coalesce("beside", F.lit(False)).alias("beside"), "side", "before", "after", "left_edge", "prev_bold"))
+    # Of the neighbours only texts that may share a broken word are kept, and a hash of each: null where there is none on the page.
+    hyphened = lambda c: F.col(c).rlike(ENDS)
+    lines = lines.select(
+        "artifact_id", "page", "col", "y", "x", "text", "bold", F.col("sure").alias("furniture"), "open", F.coalesce("beside", F.lit(False)).alias("beside"), "side", "left_edge", "prev_bold",
+        F.when(F.col("b").isNotNull(), F.xxhash64("b")).alias("before_h"), F.when(F.col("n").isNotNull(), F.xxhash64("n")).alias("after_h"), F.when(hyphened("b"), F.col("b")).alias("before"), F.when(hyphened("text"), F.col("n")).alias("after"),
+    )
+    lines = written(lines)
     # Doubtful lines at an edge are furniture where they repeat, digits aside, at that edge of other pages of the artifact.
     edges = lines.filter("furniture or open").select("artifact_id", "page", "side", "open", F.xxhash64(F.regexp_replace(F.lower(F.trim("text")), r"\d+", "#")).alias("key"), F.xxhash64("text").alias("h"))
     again = edges.groupBy("artifact_id", "side", "key").agg(F.min("page").alias("a"), F.max("page").alias("b")).filter("a < b").select("artifact_id", "side", "key")
     confirmed = edges.filter("open").join(again, ["artifact_id", "side", "key"], "left_semi").groupBy("artifact_id", "page").agg(F.collect_set("h").alias("confirmed"))  # edge lines of one page
-    is_one = lambda c: F.coalesce(F.array_contains("confirmed", F.xxhash64(c)), F.lit(False))
-    doubtful = lines.filter("open or beside").join(confirmed, ["artifact_id", "page"], "left")
-    doubtful = doubtful.withColumn("furniture", F.col("furniture") | (F.col("open") & is_one("text"))).withColumn("before", F.when(~is_one("before"), F.col("before"))).withColumn("after", F.when(~is_one("after"), F.col("after")))
+    is_one = lambda h: F.coalesce(F.array_contains("confirmed", h), F.lit(False))
+    doubtful = lines.filter("open or beside").join(confirmed, ["artifact_id", "page"], "left").withColumn("furniture", F.col("furniture") | (F.col("open") & is_one(F.xxhash64("text"))))
+    for side in ("before", "after"):
+        gone = is_one(F.col(f"{side}_h"))
+        doubtful = doubtful.withColumn(side, F.when(~gone, F.col(side))).withColumn(f"{side}_h", F.when(~gone, F.col(f"{side}_h")))
     lines = lines.filter("not (open or beside)").unionByName(doubtful.drop("confirmed")).drop("open", "beside", "side")
     # The lines at the ends of a page have their other neighbour on the next one.
-    inner, ends = lines.filter("furniture or (before is not null and after is not null)"), lines.filter("not furniture and (before is null or after is null)")
-    first, last = lines.filter("not furniture and before is null"), lines.filter("not furniture and after is null")
-    ends = ends.join(first.select("artifact_id", (F.col("page") - 1).alias("page"), F.col("text").alias("next_first")), ["artifact_id", "page"], "left")
-    ends = ends.join(last.select("artifact_id", (F.col("page") + 1).alias("page"), F.col("text").alias("prev_last")), ["artifact_id", "page"], "left")
-    ends = ends.withColumn("after", F.coalesce("after", "next_first")).withColumn("before", F.coalesce("before", "prev_last")).select(*inner.columns)
-    return inner.unionByName(ends)
+    first, last = "not furniture and before_h is null", "not furniture and after_h is null"
+    inner, ends = lines.filter(f"not ({first}) and not ({last})"), lines.filter(f"({first}) or ({last})")
+    ends = ends.join(lines.filter(first).select("artifact_id", (F.col("page") - 1).alias("page"), F.col("text").alias("next_first")), ["artifact_id", "page"], "left")
+    ends = ends.join(lines.filter(last).select("artifact_id", (F.col("page") + 1).alias("page"), F.col("text").alias("prev_last")), ["artifact_id", "page"], "left")
+    takes_after, takes_before = F.col("after_h").isNull() & F.col("next_first").isNotNull(), F.col("before_h").isNull() & F.col("prev_last").isNotNull()
+    ends = ends.withColumn("after", F.when(takes_after & hyphened("text"), F.col("next_first")).otherwise(F.col("after"))).withColumn("before", F.when(takes_before & hyphened("prev_last"), F.col("prev_last")).otherwise(F.col("before")))
+    ends = ends.withColumn("after_h", F.when(takes_after, F.xxhash64("next_first")).otherwise(F.col("after_h"))).withColumn("before_h", F.when(takes_before, F.xxhash64("prev_last")).otherwise(F.col("before_h")))
+    return inner.unionByName(ends.select(*inner.columns))
 
 
 def _line_noise(text: str, before: str | None, after: str | None, lex: Lexicon) -> list[str]:
@@ -577,9 +590,7 @@ def find_noise(fragments: DataFrame, hits: DataFrame) -> DataFrame:
     place = ["a", "page", "x", "y", "h"]  # of a line; hashes instead of the strings
     hashes = F.xxhash64("artifact_id").alias("a"), F.xxhash64("text").alias("h")
     rows = fragments.filter("text is not null and trim(text) <> ''").select(*hashes, "page", "x", "y", "fragment_id")
-    # Neighbours are needed only at line ends that may break a word.
-    ends = r"[-\x{2010}\x{2011}\x{ac}\x{ad}\x{ff0d}][\s\x{a0}\x{2000}-\x{200f}\x{202f}\x{2060}\x{2063}\x{3000}\x{feff}]*$"
-    lines = fragment_lines(fragments).select(*hashes, "page", "x", "y", "furniture", F.when(~F.col("furniture"), F.col("text")).alias("text"), F.when(F.col("before").rlike(ends), F.col("before")).alias("before"), F.when(F.col("text").rlike(ends), F.col("after")).alias("after"))
+    lines = fragment_lines(fragments).select(*hashes, "page", "x", "y", "furniture", F.when(~F.col("furniture"), F.col("text")).alias("text"), "before", "after")
     lines = spread(lines).withColumn("found", line_noise("text", "before", "after")).select(*place, F.when(F.col("furniture"), F.array(F.lit("furniture"))).otherwise(F.col("found")).alias("noise")).filter(F.size("noise") > 0)
     body = rows.join(lines, place).select(F.lit("fragment").alias("src_table"), F.col("fragment_id").alias("row_id"), F.explode("noise").alias("noise"))
     blocks = hits.filter("text is not null and trim(text) <> ''").select(F.lit("search_hit").alias("src_table"), F.col("hit_id").alias("row_id"), F.explode(block_noise("text")).alias("noise"))
@@ -676,7 +687,7 @@ def repair_fragments(fragments: DataFrame, lex: Lexicon) -> DataFrame:
     w = Window.partitionBy("artifact_id", "page").orderBy("col", F.desc("y"), "x", "text")
     begins = (F.col("x") - F.col("left_edge") > 6) | F.col("bold") | F.coalesce("prev_bold", F.lit(False))
     lines = lines.withColumn("begins", begins.cast("int")).withColumn("line_no", F.row_number().over(w))
-    lines = lines.withColumn("begins", F.when((F.col("line_no") == 1) & F.col("before").isNull(), 1).otherwise(F.col("begins"))).withColumn("no", F.sum("begins").over(w))
+    lines = lines.withColumn("begins", F.when((F.col("line_no") == 1) & F.col("before_h").isNull(), 1).otherwise(F.col("begins"))).withColumn("no", F.sum("begins").over(w))
     lines = written(lines)
     owner = paragraph_owners(lines.groupBy("artifact_id", "page").agg(F.max("no").alias("last_no")))
     # The lines before a page's first beginning go on from the last paragraph of the nearest earlier page on which one begins.
