@@ -498,12 +498,12 @@ def fragment_lines(fragments: DataFrame) -> DataFrame:
         .withColumn("leading", F.min(F.when((F.col("down") > 3) & ~F.col("outer") & ~F.lead("outer").over(w), F.col("down"))).over(paged))
         .withColumn("from_top", F.max("y").over(paged) - F.col("y"))
         .withColumn("from_bottom", F.col("y") - F.min("y").over(paged))
-        .withColumn("usual", F.percentile_approx("font_size", 0.5).over(paged))
+        .withColumn("inward", F.when(F.col("from_top") <= F.col("from_bottom"), F.lead("font_size").over(w)).otherwise(F.lag("font_size").over(w)))
     )
     near_edge = F.coalesce(F.least("from_top", "from_bottom") < 0.6 * F.col("leading"), F.col("outer"))
     gap = F.when(F.col("from_top") <= F.col("from_bottom"), F.col("down")).otherwise(F.col("up"))
     off = F.coalesce((gap < 0.85 * F.col("leading")) | (gap > 1.15 * F.col("leading")), F.lit(True))
-    off = off | (F.abs(F.col("font_size") - F.col("usual")) > 0.5)
+    off = off | (F.abs(F.col("font_size") - F.col("inward")) > 0.5)
     label = F.col("text").rlike(_LABEL_SQL)
     sure = near_edge & F.col("outer") & (off | label)
     lines = lines.withColumn("sure", sure).withColumn("open", near_edge & ~F.col("sure") & (F.col("outer") | (off & F.col("leading").isNotNull()))).withColumn("side", F.col("from_top") <= F.col("from_bottom"))
