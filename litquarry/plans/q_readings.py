@@ -10,7 +10,7 @@ from litquarry.operators import readings as R
 from litquarry.plans.q_states import dealt, sql_dealt, sql_list
 from litquarry.plans.registry import query
 from litquarry.session import table
-from litquarry.sources.files import gate_code
+from litquarry.sources.files import parser_gate
 from litquarry.streaming import events as E
 
 # The check each fault is caught by, in their order; the last one is no fault.
@@ -42,7 +42,7 @@ def src4_gate(spark, sf):
         pick(11, F.sha2(F.lit("changed"), 256), F.upper(digest)).alias("file_sha256"),
         pick(13, F.lit(-1), pick(14, F.lit(8), F.lit(7))).alias("file_pages"),
     )
-    return gate_code(records, ["record/v1"]).select("page_id", "gate_code")
+    return parser_gate(records, ["record/v1"]).select("page_id", "gate_code")
 
 
 def _entries_sql() -> str:

@@ -25,6 +25,26 @@ def scan_sidecars(spark: SparkSession, root: str, suffix: str = "*.acquisition.j
     return r.json(root).withColumn("path", F.input_file_name())
 
 
+def gate_code(sidecars: DataFrame) -> DataFrame:
+    """The first check a record fails that shows in the record itself, or OK; ``parser_gate`` has all checks, with the file."""
+    return sidecars.withColumn(
+        "gate_code",
+        gate(
+            [
+                (F.col("_corrupt").isNotNull(), "UNREADABLE_SIDECAR"),
+                (F.col("schema").isNull(), "UNKNOWN_SCHEMA"),
+                (F.col("status") != "VERIFIED", "NOT_VERIFIED"),
+                (~F.col("retrieval.sha256").rlike("^[0-9a-f]{64}$"), "BAD_HASH"),
+                (~F.col("pdf_validation.valid_pdf"), "INVALID_PDF"),
+                (F.col("pdf_validation.page_count") <= 0, "NO_PAGES"),
+                (normalize_doi(F.col("target.doi")).isNull(), "BAD_DOI"),
+                (F.col("identity_validation.status") != "MATCH", "IDENTITY_MISMATCH"),
+                (F.col("identity_validation.document_role") != "ARTICLE", "NOT_AN_ARTICLE"),
+            ]
+        ),
+    )
+
+
 # The checks of a record before its file is parsed, in their order.
 GATE_CODES = [
     "PDF_NOT_FOUND", "UNVERIFIED_PATH", "SIDECAR_NOT_FOUND", "INVALID_SIDECAR", "UNKNOWN_SIDECAR_SCHEMA", "STATUS_NOT_VERIFIED", "PDF_VALIDATION_FAILED", "IDENTITY_NOT_MATCHED", "DOCUMENT_NOT_ARTICLE",
@@ -32,7 +52,7 @@ GATE_CODES = [
 ]
 
 
-def gate_code(sidecars: DataFrame, schemas: list[str] | None = None, local: str = "") -> DataFrame:
+def parser_gate(sidecars: DataFrame, schemas: list[str] | None = None, local: str = "") -> DataFrame:
     """The first check a record fails, or OK.
 
     ``sidecars`` has the fields of ``SIDECAR``, ``_corrupt`` and ``path``; with them, as far as they are known, ``file_path``, ``file_sha256`` and
@@ -81,7 +101,7 @@ def scan_corpus(spark: SparkSession, root: str, schemas: list[str] | None = None
     files = files.groupBy("file_sha256").agg(F.min("file_path").alias("file_path"), F.count("*").alias("copies"))
     records = scan_sidecars(spark, root)
     x = records.withColumn("file_sha256", F.lower("retrieval.sha256")).join(files, "file_sha256", "full_outer")
-    return gate_code(x, schemas)
+    return parser_gate(x, schemas)
 
 
 FIELDS = ["doi", "title", "authors", "journal", "year", "volume", "issue", "pages", "cnki_id", "folder", "filename", "tags"]

@@ -143,3 +143,40 @@ def test_search_sees_words_that_only_the_view_shows(spark):
         assert sorted(r["i"] for r in search(df, "t", "water split", full=full).collect()) == want
     plan = search(df, "t", "water split", full=False)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") <= 10
+
+
+def test_readings_and_markup(spark):
+    assert one(spark, ["H₂O ａ b−c", "x²", None], T.reading_key) == ["H₂Oab-c", "x²", None]
+    assert one(spark, ["Ａ 5 mL\n水 中", None], T.compared_reading) == ["a5ml水中", None]
+    assert one(spark, ["<i>p</i> &lt; 0.05<br/>a<b", "<sup>2</sup><sub>x", "<MML:math>x</MML:math><b/>y", None], T.plain_markup) == ["p < 0.05 a<b", "2<sub>x", "<MML:math>x</MML:math>y", None]
+    refs = one(spark, ["[1] A b. [2] C [x] d", "(3) A 1. x (4) B", "1. A b 2. C", "none", None], T.reference_entries)
+    assert [[tuple(e) for e in r] if r is not None else None for r in refs][:3] == [[("1", "A b."), ("2", "C [x] d")], [("3", "A 1. x"), ("4", "B")], [("1", "A b"), ("2", "C")]] and not refs[3]
+
+
+def test_request_keys_are_canonical_json(spark):
+    from litquarry.operators.library import request_keys
+
+    schema = "doi string, title string, authors array<string>, journal string, year int, volume string, issue string, pages string, cnki_id string, folder string, filename string, tags array<string>"
+    rows = [(None, "A  Title!", ["B. Y", "A. X"], "J. X", 2020, "1", None, None, None, None, None, None), (None, "a title", ["AX", "BY"], "jx", 2020, "1", None, None, None, "f", None, ["t"]), ("10.1/x", None, None, None, None, None, None, None, None, None, None, None)]
+    got = request_keys(spark.createDataFrame(rows, schema)).collect()
+    assert got[0]["key"] == got[1]["key"] == got[0]["batch_key"] != got[1]["batch_key"] and got[2]["article_id"] == "doi:10.1/x"
+    payload = {"doi": None, "title": "atitle", "authors": ["ax", "by"], "journal": "jx", "year": 2020, "volume": "1", "issue": None, "pages": None, "cnki_id": None}
+    assert got[0]["key"] == "citation:" + hashlib.sha256(json.dumps(payload, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+
+def test_page_geometry(spark):
+    from litquarry.functions import places as P
+
+    df = spark.createDataFrame([(r,) for r in (0, 90, 180, 270)], "r int")
+    box = F.struct(F.lit(10.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(30.0).alias("x1"), F.lit(60.0).alias("y1"))
+    crop = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(100.0).alias("x1"), F.lit(200.0).alias("y1"))
+    got = [tuple(r[0]) for r in df.select(P.shown_box(box, crop, F.col("r"))).collect()]
+    assert got == [(0.1, 0.1, 0.3, 0.3), (0.1, 0.7, 0.3, 0.9), (0.7, 0.7, 0.9, 0.9), (0.7, 0.1, 0.9, 0.3)]
+
+
+def test_notes_below_tables(spark):
+    from litquarry.operators.readings import table_notes
+
+    rows = [("a", 1, 1, "caption", "Table 1. x"), ("a", 2, 1, "paragraph", "Conditions: 5 h,"), ("a", 3, 1, "paragraph", "and 80 °C."), ("a", 4, 1, "paragraph", "Text goes on."), ("a", 5, 3, "caption", "Table 2."), ("a", 6, 4, "heading", "Notes")]
+    df = spark.createDataFrame(rows, "k string, id long, page int, kind string, text string")
+    assert [tuple(r) for r in table_notes(df, "k", "id", F.col("kind") == "caption").collect()] == [("a", 1, [2, 3])]

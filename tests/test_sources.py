@@ -178,3 +178,36 @@ def test_greedy_suppression(spark):
 
     h = spark.createDataFrame([("a", 1, [1, 2], 3.0), ("a", 2, [2, 9], 2.0), ("a", 3, [5, 6, 7], 1.0), ("b", 1, [1], 1.0)], "k string, i int, b array<int>, s double")
     assert sorted((r["k"], r["i"], r["kept"]) for r in V.keep_greedily(h, "k", "i", "b", "s").collect()) == [("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 1, True)]
+
+
+def test_request_lists_of_every_kind(spark, tmp_path):
+    from litquarry.sources.files import read_requests
+
+    (tmp_path / "a.csv").write_text("﻿doi,title,authors,year,tags\n10.1000/A,,,,\n,A title,\"X Y; Z\",2020,a;b\n,,,2020,\n,Other,,20x,\nnot-a-doi,T,,,\n", encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps(["10.1000/A", {"title": "A title", "authors": ["X Y", "Z"], "year": 2020, "tags": "a;b"}, {"year": "2020"}, {"title": "Other", "year": "20x"}, {"doi": "not-a-doi", "title": "T"}]), encoding="utf-8")
+    (tmp_path / "c.txt").write_text("# a list\n\n10.1000/A\n  doi:10.1000/B \nnot-a-doi\n", encoding="utf-8")
+    for name in ("a.csv", "b.json"):
+        got = {r["line"]: r for r in read_requests(spark, str(tmp_path / name)).collect()}
+        assert [got[k]["error"] for k in range(1, 6)] == [None, None, "neither doi nor title", "the year has not four digits", "not a doi"]
+        assert got[1]["doi"] == "10.1000/a" and got[2]["authors"] == ["X Y", "Z"] and got[2]["tags"] == ["a", "b"] and got[2]["year"] == 2020
+    assert [(r["line"], r["doi"]) for r in read_requests(spark, str(tmp_path / "c.txt")).orderBy("line").collect()] == [(1, "10.1000/a"), (2, "10.1000/b"), (3, None)]
+
+
+def test_corpus_scan_keeps_rejects(spark, tmp_path):
+    import hashlib
+
+    from litquarry.sources.files import scan_corpus
+
+    good, other = b"%PDF-1.7 a", b"%PDF-1.7 b"
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.pdf").write_bytes(good)
+    (tmp_path / "copy.pdf").write_bytes(good)
+    (tmp_path / "b.pdf").write_bytes(other)
+    record = {"schema": "record/v1", "status": "VERIFIED", "target": {"doi": "10.1000/x"}, "retrieval": {"sha256": hashlib.sha256(good).hexdigest()}, "pdf_validation": {"valid_pdf": True, "page_count": 3}, "identity_validation": {"status": "MATCH", "document_role": "ARTICLE"}}
+    (tmp_path / "a.acquisition.json").write_text(json.dumps(record))
+    (tmp_path / "lost.acquisition.json").write_text(json.dumps(record | {"retrieval": {"sha256": "0" * 64}}))
+    (tmp_path / "bad.acquisition.json").write_text("{")
+    rows = scan_corpus(spark, str(tmp_path), ["record/v1"]).collect()
+    assert sorted(r["gate_code"] for r in rows) == ["OK", "PDF_NOT_FOUND", "PDF_NOT_FOUND", "SIDECAR_NOT_FOUND"]
+    ok = next(r for r in rows if r["gate_code"] == "OK")
+    assert ok["copies"] == 2 and ok["file_path"].endswith("copy.pdf")
