@@ -47,9 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, its lineage cut, read back column by column."""
+    """``df`` as a table in the shared folder: computed once, its lineage cut, read back column by column. It is removed when the application ends."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = df.sparkSession.sparkContext
+    kept = sc._jvm.org.apache.hadoop.fs.Path(path)
+    kept.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(kept)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
