@@ -12,6 +12,8 @@ WRAPPERS = [('"', '"'), ("'", "'"), ("[", "]"), ("(", ")"), ("{", "}"), ("（",
 CLOSERS = [("(", ")"), ("[", "]"), ("{", "}")]
 ENDINGS = r"[.,;，。；\s]+$"
 DOI = r"10\.[0-9]{4,9}/[-._;()/:<>#?A-Za-z0-9]+"
+# Punctuation of Chinese prose that ends a DOI.
+PROSE_ENDS = "，。；、！？（）【】《》“”‘’：…"
 RESOLVERS = ("doi.org", "dx.doi.org", "doi.example")
 RESOLVER_HOSTS = ("doi.org", "www.doi.org", "dx.doi.org", "hdl.handle.net", "handle.net")
 INDEX_HOSTS = ("pubmed.ncbi.nlm.nih.gov", "doaj.org", "www.doaj.org")
@@ -68,7 +70,7 @@ def normalize_doi(c: Column, resolvers: tuple[str, ...] = RESOLVERS) -> Column:
 
 def extract_dois(c: Column) -> Column:
     """Distinct DOIs of prose in order of appearance; CJK punctuation ends a DOI."""
-    searchable = F.translate(c, "，。；、！？（）【】《》“”‘’：…", " " * 18)
+    searchable = F.translate(c, PROSE_ENDS, " " * len(PROSE_ENDS))
     found = F.regexp_extract_all(searchable, F.lit(f"(?:^|[^A-Za-z0-9_/])((?:(?i:https?://)?(?i:dx\\.)?(?i:doi\\.org)/)?{DOI})"), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, lambda x: normalize_doi(x)), lambda x: x.isNotNull()))
 
