@@ -82,14 +82,17 @@ def scale_for(weight: np.ndarray, size: np.ndarray, most: float, wanted: float)
 
 
 def with_factors(sized: DataFrame, goal: DataFrame, size_power: float) -> DataFrame:
-    """``goal`` with the factor of each plan and source. Weights are summed in sixteenths of a power of two, so a source has some hundred cells whatever its size."""
+    """Plan, source, cap, wanted size and factor of each row of ``goal``, as a table of the driver's: plans times sources rows, whatever the corpus.
+
+    Weights are summed in sixteenths of a power of two, so a source has some hundred cells whatever its size.
+    """
     weight = F.pow(F.col("tokens").cast("double"), F.lit(float(size_power)))
     cells = sized.join(goal.select("source").distinct(), "source", "left_semi").groupBy("source", F.floor(F.log2("tokens") * 16).alias("cell")).agg(F.sum("tokens").cast("double").alias("size"), F.sum(weight * F.col("tokens")).alias("ws")).toPandas()
     plans = goal.select("plan_id", "source", "max_repeats", "reachable").toPandas()
     by = {s: (c["ws"].to_numpy(float) / c["size"].to_numpy(float), c["size"].to_numpy(float)) for s, c in cells.groupby("source")}
-    rows = [(p, s, scale_for(*by[s], float(m), float(r))) for p, s, m, r in plans.itertuples(index=False, name=None)]
-    schema = f"plan_id {goal.schema['plan_id'].dataType.simpleString()}, source string, factor double"
-    return goal.join(sized.sparkSession.createDataFrame(rows, schema), ["plan_id", "source"])
+    rows = [(p, s, m, float(r), scale_for(*by[s], float(m), float(r))) for p, s, m, r in plans.itertuples(index=False, name=None)]
+    schema = f"plan_id {goal.schema['plan_id'].dataType.simpleString()}, source string, max_repeats int, reachable double, factor double"
+    return sized.sparkSession.createDataFrame(rows, schema)
 
 
 def select_mix(sized: DataFrame, plans: DataFrame, seed: int = 17, size_power: float = 0.0) -> DataFrame:
@@ -98,7 +101,6 @@ def select_mix(sized: DataFrame, plans: DataFrame, seed: int = 17, size_power: f
     ``size_power`` weights documents by ``tokens ** size_power``; 0 gives every document of a source the same chance per copy.
     """
     weight = F.pow(F.col("tokens").cast("double"), F.lit(float(size_power)))
-    # The plan table is small by its nature (plans x sources); its size is still left to the optimiser's own threshold.
     goal = with_factors(sized, targets(sized, plans).filter("reachable > 0"), size_power)
     d = (
         sized.join(goal.select("plan_id", "source", "reachable", "max_repeats", "factor"), "source")
