@@ -25,6 +25,7 @@ from litquarry.session import written
 from .tokens import DEFAULT_TOKENIZER_DIR, count_tokens
 
 CELLS = 1024
+MOST_BROADCAST = 100_000
 
 
 def sized_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = DEFAULT_TOKENIZER_DIR) -> DataFrame:
@@ -92,7 +93,9 @@ def with_factors(sized: DataFrame, goal: DataFrame, size_power: float) -> DataFr
     by = {s: (c["ws"].to_numpy(float) / c["size"].to_numpy(float), c["size"].to_numpy(float)) for s, c in cells.groupby("source")}
     rows = [(p, s, m, float(r), scale_for(*by[s], float(m), float(r))) for p, s, m, r in plans.itertuples(index=False, name=None)]
     schema = f"plan_id {goal.schema['plan_id'].dataType.simpleString()}, source string, max_repeats int, reachable double, factor double"
-    return sized.sparkSession.createDataFrame(rows, schema)
+    out = sized.sparkSession.createDataFrame(rows, schema)
+    # Its size is known here; a source may hold most of the corpus, so documents are not shuffled by source where that can be helped.
+    return F.broadcast(out) if len(rows) <= MOST_BROADCAST else out
 
 
 def select_mix(sized: DataFrame, plans: DataFrame, seed: int = 17, size_power: float = 0.0) -> DataFrame:
@@ -113,6 +116,8 @@ def select_mix(sized: DataFrame, plans: DataFrame, seed: int = 17, size_power: f
     # The rank value in (0, 1), rising with the odds ratio; documents at the cap cannot be drawn again.
     d = d.withColumn("rank", F.when(F.col("sure") >= F.col("max_repeats"), F.lit(2.0)).when(F.col("p") <= 0, 1 - 1e-9 * (1 - u)).otherwise(odds / (1 + odds)))
     d = d.withColumn("cell", F.floor(F.least("rank", F.lit(1 - 1e-12)) * CELLS)).withColumn("subcell", F.floor((F.least("rank", F.lit(1 - 1e-12)) * CELLS - F.col("cell")) * CELLS))
+    # Read three times below: cells, the rows of the crossing cell, all others.
+    d = written(d.select("plan_id", "source", "doc_id", "tokens", "sure", "rank", "cell", "subcell", "reachable"))
     drawable = F.when(F.col("rank") < 2, F.col("tokens")).otherwise(F.lit(0))
     key = ["plan_id", "source"]
     base = d.groupBy(*key, "cell", "subcell").agg(F.sum(drawable).alias("cell_tokens"), F.sum(F.col("sure") * F.col("tokens")).alias("sure_tokens"), F.first("reachable").alias("reachable"))
