@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from litquarry.llm import linkage, mixing, names, pii, pii_made, pii_train, queries
 from litquarry.llm.pii_net import TAGS, Tagger
+from litquarry.operators import slots
 
 from ..compare import SF, rows, views
 
@@ -81,6 +82,29 @@ def test_later_authors_and_fitted_weights():
     assert w[0] > 3 and w[1] < -3 and w[2] < -3 and w[3] < -3
 
 
+def test_keys_without_a_partner_are_dropped(spark):
+    r = np.random.default_rng(6)
+    keys = r.integers(-(2**63), 2**63 - 1, 4000)
+    mine = spark.createDataFrame([(k, [int(x) for x in keys[k * 10 : k * 10 + 10]]) for k in range(200)], "class_id long, keys array<long>")
+    other = spark.createDataFrame([(int(k), [int(x) for x in keys[1990 + k * 10 : 2000 + k * 10]]) for k in range(200)] + [(200, []), (201, None)], "class_id long, keys array<long>")
+    left = {r["class_id"]: r["keys"] for r in linkage._sifted(other, slots.marked(mine.select("keys"), 2000)).collect()}
+    assert set(left) == set(range(202)) and left[0] == keys[1990:2000].tolist()  # what has a partner stays, in order
+    assert sum(len(x) for x in left.values() if x) < 10 + 0.01 * 2000  # nearly all others go before anything is shuffled
+
+
+def test_signs_lose_no_pair(spark):
+    r = np.random.default_rng(2)
+    titles = [[f"w{x}" for x in r.integers(0, 60, r.integers(0, 40))] for _ in range(120)]
+    rows = []
+    for a, b in zip(titles, titles[1:] + titles[:1]):
+        b = b + a[: len(a) // 2]
+        rows.append((linkage.share_enough(a, b), *[(*linkage.sign_of(w := linkage.content_of(t)), len(w)) for t in (a, b)]))
+    rows += [(False, (*linkage.sign_of({f"a{k}{i}" for i in range(9)}), 9), (*linkage.sign_of({f"b{k}{i}" for i in range(9)}), 9)) for k in range(100)]
+    sign = "struct<sign_l:long,sign_h:long,size:int>"
+    got = spark.createDataFrame(rows, f"wanted boolean, x {sign}, y {sign}").select("wanted", linkage.may_share("x", "y").alias("may")).collect()
+    assert all(g["may"] for g in got if g["wanted"]) and sum(g["may"] for g in got[-100:]) < 20
+
+
 def test_titles():
     assert linkage.title_parts("Erratum: A study (II)")[1] == "correction"
     assert linkage.title_parts("Study of foam: Part I")[2] == 1 and linkage.title_parts("Study of fo…")[3]
