@@ -34,7 +34,7 @@ def marked(hashes: DataFrame, rows: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([got.tobytes()], type=pa.binary())], names=["bits"])
 
     out = np.zeros(size, np.uint8)
-    for r in hashes.coalesce(TASKS).mapInArrow(run, "bits binary").toLocalIterator():
+    for r in hashes.coalesce(TASKS).mapInArrow(run, "bits binary").collect():
         out |= np.frombuffer(r["bits"], np.uint8)
     return out
 

@@ -84,3 +84,36 @@ def test_attachment_roles(spark):
     want = ["PEER_REVIEW", "PEER_REVIEW", "REPORTING_SUMMARY", "SOURCE_DATA", "SUPPLEMENT", "SUPPLEMENT", "SUPPLEMENT", None, "SUPPLEMENT", "SUPPLEMENT", "PEER_REVIEW", None, None]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, label string, path string")
     assert [r["role"] for r in df.select("i", attachment_role(F.col("label"), F.col("path")).alias("role")).orderBy("i").collect()] == want
+
+
+def test_unique_location_equals_brute_force(spark):
+    from litquarry.operators.evidence import unique_location
+
+    r = random.Random(8)
+    blocks = [(i, r.choice(["a", "b", None]), None if i == 7 else "".join(r.choice("xy中𝒳 ") for _ in range(r.choice([0, 1, 5, 30])))) for i in range(300)]
+    quotes = [(i, r.choice(["a", "b", None]), q) for i, q in enumerate(["", None, "xxxxxxxxxxxx"])]
+    for k in range(300):
+        _, s, t = r.choice([x for x in blocks if x[2]])
+        at, n = r.randrange(len(t)), r.choice([1, 4, 6, 9])
+        quotes.append((10 + k, s, t[at : at + n]))
+    want = {}
+    for qid, s, q in quotes:
+        hit = [(b, t.count(q)) for b, c, t in blocks if q and s and c == s and t and q in t]
+        if len(hit) == 1 and hit[0][1] == 1:
+            want[qid] = hit[0][0]
+    got = unique_location(spark.createDataFrame(quotes, "qid int, src string, quote string"), spark.createDataFrame(blocks, "block int, src string, text string"), "src", "quote", "text", "qid", "block").collect()
+    assert want and {x["qid"]: x["block"] for x in got} == want and len(got) == len(want)
+
+
+def test_unique_location_in_a_large_source(spark):
+    """Quotes that share their longest word, or have no inner word, do not meet all blocks of their source."""
+    import time
+
+    from litquarry.operators.evidence import unique_location
+
+    n = 30_000
+    b = spark.range(n).selectExpr("id AS block", "'s' AS src", "CASE WHEN id % 2 = 0 THEN concat('in electrochemistry no ', id, ' of them is here') ELSE concat('盐水淡化膜电极材料的研究进展', id, '号样品') END AS text")
+    q = b.selectExpr("block AS qid", "src", "CASE WHEN block % 2 = 0 THEN substr(text, 1, 29) ELSE text END AS quote")
+    began = time.perf_counter()
+    assert unique_location(q, b, "src", "quote", "text", "qid", "block").filter("qid = block").count() == n
+    assert time.perf_counter() - began < 60
